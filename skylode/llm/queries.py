@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from skylode.functions.observations import base_name, node_key, observations, trimmed
-from skylode.llm import cutoffs, nearest, splits, topn
+from skylode.llm import cutoffs, mixing, nearest, pii, splits, tokens, topn
 from skylode.session import materialize
 from skylode.sources.tables import table
 
@@ -153,6 +153,38 @@ near AS (
 SELECT row_id, header_id FROM near WHERE rn = 1
 """
 
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encode(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def _mix(spark: SparkSession, folder: str) -> mixing.Mix:
+    documents = table(spark, folder, "documents").select("doc_id", "source", "text")
+    # The encoder is given key and source together, so that nothing is joined afterwards.
+    keyed = documents.select(F.struct("doc_id", "source").alias("key"), "text")
+    sized = tokens.encode(keyed, "key", "text").select(F.col("key.doc_id").alias("key"), F.col("key.source").alias("source"), F.size("ids").alias("size"))
+    return mixing.mix(materialize(sized, "sized"), table(spark, folder, "source_weights"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents used, with their tokens and how often each is used."""
+    return _mix(spark, folder).copies.select(F.col("key").alias("doc_id"), "source", F.col("size").alias("n_tokens"), "copies")
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached shares, caps and totals of the sources."""
+    return _mix(spark, folder).report
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_items(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", "kind", "start_pos")
+
+
+def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's text with placeholders."""
+    return pii.redacted(table(spark, folder, "documents"), "doc_id", "text")
+
+
 SQL: dict[str, str] = {
     "p1_found": _P1 + "SELECT cadence, method, f_start FROM ranked JOIN cut USING (cadence, method) WHERE score >= cutoff",
     "p1_cutoffs": _P1
@@ -174,4 +206,9 @@ QUERIES: dict[str, Query] = {
     "p4_splits": p4_splits,
     "p4_shares": p4_shares,
     "p5_found": p5_found,
+    "p6_ids": p6_ids,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_redacted": p8_redacted,
 }
