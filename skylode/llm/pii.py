@@ -165,7 +165,7 @@ ADDRESSES = [
 def _addresses(text: str) -> Iterator[Span]:
     for pattern in ADDRESSES:
         for m in pattern.finditer(text):
-            yield Span("address", m.start(), m.end(), 0.8)
+            yield Span("address", m.start(), m.end() - (m[0][-1] == "." and pattern is not ADDRESSES[0]), 0.8)
 
 
 # -- names -------------------------------------------------------------------------------------------------------------

@@ -48,7 +48,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(records: DataFrame, edges: DataFrame, record: str) -> DataFrame:
-    """records with `group`: the smallest record of its component, or the record itself where it is tied to none."""
+    """records with `group`: the smallest record of its component, or the record itself where it is tied to none.
+
+    A column `group` that records have already is replaced; a null record has a null group.
+    """
+    records = records.drop("group")
     found = components(edges).select(F.col("record").alias("_record"), F.col("group").alias("_group"))
     return records.join(found, records[record] == found["_record"], "left").withColumn("group", F.coalesce("_group", record)).drop("_record", "_group")
 
@@ -79,7 +83,8 @@ def split_groups(rows: DataFrame, group: str, label: Column, shares: dict[str, f
 
     The sizes of splits, and of each label in them, come as near to the shares as whole groups allow. What goes through
     the driver is bounded: fewer than 1 / HOT large groups and POOLS pools of small ones, with at most LABELS labels. A
-    null label is a label; rows with a null group are one group. Empty input gives no row.
+    null label is a label; rows with a null group are one group. Empty input gives no row. A column `assigned` that rows
+    have already is replaced.
     """
     spark = rows.sparkSession
     sizes = materialize(rows.groupBy(F.col(group).alias("_g"), label.cast("string").alias("_l")).agg(F.count("*").alias("n")), "group-sizes")
@@ -96,6 +101,7 @@ def split_groups(rows: DataFrame, group: str, label: Column, shares: dict[str, f
     to = _assign(table.to_numpy(float), np.array([shares[k] for k in names]) / sum(shares.values())) if len(table) else []
     splits = spark.createDataFrame([(u, names[k]) for u, k in zip(table.index, to, strict=True)], "unit string, assigned string")
     of = units.join(F.broadcast(splits), "unit").select(F.col("_g").alias("_group"), "assigned")
+    rows = rows.drop("assigned")
     return rows.join(of, rows[group].eqNullSafe(of["_group"])).drop("_group")
 
 
