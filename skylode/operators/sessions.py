@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from skylode.session import scratch_path
+from skylode.session import materialize, scratch_path
 
 BUCKET = 21_600
 PERIOD = 30 * 86_400
@@ -121,6 +121,7 @@ class SessionTable:
         new_events = self._write(batch, "time", f"events-{version:08d}")
         batch = self._load([f"{self.path}/{p}" for p in new_events.values()], "key string, time long, id string")
         local = merge_intervals(batch.select("key", F.col("time").alias("start"), F.col("time").alias("end"), F.lit(1).cast("long").alias("n")), self.gap)
+        local = materialize(local, "local-sessions")
         near = [p for p in state["sessions"] if any(self._within(int(p), state["ends"][p], int(q)) for q in new_events)]
         merged = merge_intervals(local.unionByName(self.read(state, near)), self.gap)
         new = self._write(merged, "start", f"sessions-{version:08d}")
