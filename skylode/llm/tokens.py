@@ -201,6 +201,8 @@ def frequent_words(documents: DataFrame, text: str, most: int) -> list[str]:
 def ship(spark: SparkSession, content: bytes, name: str) -> str:
     """Make content a file on every executor, also of those that join later; its name for SparkFiles."""
     name = f"{name}-{hashlib.sha256(content).hexdigest()[:24]}"
+    if any(x.endswith(name) for x in spark.sparkContext.listFiles):
+        return name
     path = os.path.join(tempfile.mkdtemp(prefix="skylode-ship-"), name)
     with open(path, "wb") as out:
         out.write(content)
