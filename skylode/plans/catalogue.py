@@ -116,7 +116,7 @@ def header_mismatches(spark: SparkSession, folder: str) -> DataFrame:
     both = rows.join(refs, "k").select("row_id", number("f_start_mhz").alias("a"), number("f_stop_mhz").alias("b"), number("tstart_mjd").alias("t"), "r")
     band = (F.abs(F.col("a") - F.col("r.f_start_mhz")) > 0.01) | (F.abs(F.col("b") - F.col("r.f_stop_mhz")) > 0.01)
     start = F.abs(F.col("t") - F.col("r.tstart_mjd")) * 86400 > 1.0
-    both = both.where("NOT isnan(r.f_start_mhz) AND NOT isnan(r.tstart_mjd) AND t < 2000000")
+    both = both.where("r.f_start_mhz IS NOT NULL AND NOT isnan(r.f_start_mhz) AND r.tstart_mjd IS NOT NULL AND NOT isnan(r.tstart_mjd) AND t < 2000000")
     return both.select("row_id", F.coalesce(band, F.lit(False)).alias("band_vs_0000"), F.coalesce(start, F.lit(False)).alias("tstart_vs_0000"))
 
 
