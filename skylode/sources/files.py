@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The header table, in the order of its columns.
-HEADERS = T.StructType.fromDDL(
+HEADERS = (
     "header_id long, file string, product string, node string, target string, scan_num string, mjd_day int, mjd_sec int, abs_time_s long, f_start_mhz double, f_stop_mhz double, bw_mhz double, "
     "fch1_mhz double, foff_hz double, nchans long, ntime long, nifs int, tsamp_s double, duration_s double, tstart_mjd double, source_name string, dtype string, chunks string, filter_ids string, "
     "file_size_bytes long, has_mask boolean, parse_error string, header_error string"
@@ -23,8 +22,7 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*.h5", product: s
 
 def read_headers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The good and the bad rows of a header CSV; errors are data there, so rows that don't fit are kept as bad ones."""
-    schema = T.StructType([*HEADERS.fields, T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(schema).option("header", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
+    rows = spark.read.schema(f"{HEADERS}, _corrupt string").option("header", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
     bad = F.col("_corrupt").isNotNull() | F.col("parse_error").isNotNull() | F.col("header_error").isNotNull()
     return rows.where(~bad), rows.where(bad)
 
