@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from skylode.functions.morphologies import PATTERNS
 from skylode.operators import maps as M
 from skylode.operators import robust
 from skylode.sources.tables import table
 
 #: Maps of one cadence, in order of map_id.
 PER_CADENCE = 16
+#: Strengths of the injected cells, in standard deviations of a map's cells.
+SNRS = [0, 3, 6, 10, 30]
 #: OFF cells below which a cadence has no ceiling of its own.
 MIN_POOL = 200
 
@@ -226,6 +229,25 @@ def effective_rank(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def injection_recovery(spark: SparkSession, folder: str) -> DataFrame:
+    """Maps with a bright cell put into the ON rows of each pattern, snr times the map's cell deviation, decided again at
+    their cadence's cut: what share reaches the short list, by pattern and snr. Maps that are listed without it are left
+    out. The cut stays that of the untouched cadence, as one signal among its windows hardly moves it."""
+    maps = _maps(spark, folder)
+    off = maps.select("cadence", F.posexplode("amap").alias("r", "row")).where(F.col("r").isin(*M.OFF)).select("cadence", F.explode("row").alias("v"))
+    cut = off.groupBy("cadence").agg(F.round(F.percentile("v", F.lit(0.99)), 6).alias("off_ceiling"))
+    flat = F.flatten("amap")
+    sigma = F.sqrt(M.mean(F.transform(flat, lambda x: x * x)) - M.mean(flat) * M.mean(flat))
+    base = M.verdict(maps.join(cut, "cadence"), F.col("off_ceiling"), F.lit(0.3)).where("NOT in_short_list").select("map_id", "amap", "off_ceiling", sigma.alias("sigma"))
+    patterns = F.create_map(*[x for k, rows in PATTERNS.items() for x in (F.lit(k), F.array(*map(F.lit, rows)))])
+    grid = base.select("*", F.explode(patterns).alias("pattern", "on_rows")).withColumn("snr", F.explode(F.array(*map(F.lit, SNRS))))
+    at = (F.col("map_id") * 7 % 64).cast("int")
+    cell = lambda v, c: v + F.when(c == at, F.col("snr") * F.col("sigma")).otherwise(0.0)
+    bright = F.transform("amap", lambda row, r: F.when(F.array_contains("on_rows", r), F.transform(row, cell)).otherwise(row))
+    again = M.verdict(grid.withColumn("amap", bright), F.col("off_ceiling"), F.lit(0.3))
+    return again.groupBy("pattern", "snr").agg(F.count("*").alias("n"), F.round(F.avg(F.col("in_short_list").cast("double")), 6).alias("listed"), F.round(F.avg(F.col("off_leak").cast("double")), 6).alias("leaking"))
+
+
 _C = """
 WITH v AS (SELECT vec_id, label, vec_id // 6 AS map_id, CAST(vec_id % 6 AS INT) AS r, embedding::DOUBLE[] AS e FROM embeddings),
 ok AS (SELECT map_id FROM v GROUP BY map_id HAVING count(*) = 6),
@@ -259,6 +281,13 @@ def _decide(ref: str, frac: float, single: str) -> str:
 
 
 SQL = {
+    "injection_recovery": _decide("w_on", 0.3, "FALSE") + """, b AS (SELECT map_id, off_ceiling FROM dec WHERE NOT in_short_list), sg AS (SELECT map_id, sqrt(avg(v * v) - avg(v) * avg(v)) AS sg FROM cells GROUP BY 1),
+      g AS (SELECT map_id, off_ceiling, sg, p.pattern, p.a, p.b, p.d, snr FROM b JOIN sg USING (map_id),
+        (VALUES ('3on', 0, 2, 4), ('2on_02', 0, 2, 0), ('2on_04', 0, 4, 0), ('2on_24', 2, 4, 2), ('1on_0', 0, 0, 0), ('1on_2', 2, 2, 2), ('1on_4', 4, 4, 4)) p(pattern, a, b, d), (VALUES (0), (3), (6), (10), (30)) s(snr)),
+      m AS (SELECT g.map_id, off_ceiling, pattern, snr, r, max(v + CASE WHEN r IN (a, g.b, d) AND c = g.map_id * 7 % 64 THEN snr * sg ELSE 0 END) AS m FROM g JOIN cells ON cells.map_id = g.map_id GROUP BY ALL),
+      w AS (SELECT map_id, pattern, snr, any_value(off_ceiling) AS t, min(m) FILTER (r % 2 = 0) AS ref, count(*) FILTER (r % 2 = 0 AND m > off_ceiling) AS n_on FROM m GROUP BY ALL),
+      l AS (SELECT map_id, pattern, snr, any_value(n_on) AS n_on, count(*) FILTER (r % 2 = 1 AND m > t AND m >= 0.3 * ref) AS n_off FROM m JOIN w USING (map_id, pattern, snr) GROUP BY ALL)
+      SELECT pattern, snr, count(*) AS n, round(avg((n_on >= 2 AND n_off < 2)::INT), 6) AS listed, round(avg((n_off >= 2)::INT), 6) AS leaking FROM l GROUP BY 1, 2""",
     "map_scores": _S + "SELECT map_id, round(avg(v), 6) AS recon, round(max(v), 6) AS max, round(any_value(topk), 6) AS topk FROM cells JOIN top USING (map_id) GROUP BY map_id",
     "map_peaks": _C + """, cm AS (SELECT map_id, c, max(v) AS m FROM cells GROUP BY ALL), p AS (SELECT map_id, arg_max(c, (m, -c)) AS col_peak FROM cm GROUP BY 1)
       SELECT map_id, any_value(col_peak) AS col_peak, """ + ", ".join(f"round(max(v) FILTER (r = {r}), 6) AS row_{r}" for r in range(6)) + " FROM cells JOIN p USING (map_id) GROUP BY map_id",
@@ -326,5 +355,5 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (map_scores, map_peaks, off_ceilings, verdict_production, verdict_hit_reference, review_list, pooled_cells, patches, fused_scores, frame_statistics, composition,
-              hot_fraction_quartiles, on_off_rows, channel_normalization, core_transform, downsampled, striping, channel_flags, row_correlation, memory_addressing, reconstruction_losses, effective_rank)
+              hot_fraction_quartiles, on_off_rows, channel_normalization, core_transform, downsampled, striping, channel_flags, row_correlation, memory_addressing, reconstruction_losses, effective_rank, injection_recovery)
 }
