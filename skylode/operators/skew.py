@@ -31,7 +31,8 @@ def salted(rows: DataFrame, hot: DataFrame, keys: list[str], *by: Column) -> Dat
         cond = cond & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
     return (
         rows.join(salts, cond, "left")
-        .withColumn("salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("_salts"))).cast("int"))
+        # Never null by its type: a join on it adds no filter below the exchange, and plans that read the rows twice share it.
+        .withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_salts")), F.lit(0)).cast("int"))
         .drop("_salts", *[f"_hot_{k}" for k in keys])
     )
 
