@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -14,17 +18,25 @@ from pyspark.sql import functions as F
 
 
 def moments(vectors: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number, mean and covariance of array vectors. Products are summed in partial aggregates; the driver gets one d × d
+    """Number, mean and covariance of array vectors. Each task adds up one d × d grid of products; the driver gets one
     grid, however many vectors there are."""
     x = vectors.select(F.col(column).cast("array<double>").alias("x")).where("x IS NOT NULL")
-    sums = x.select(F.posexplode("x").alias("i", "a")).groupBy("i").agg(F.sum("a").alias("s"), F.count("*").alias("n")).orderBy("i").collect()
-    pairs = x.select(F.posexplode("x").alias("i", "a"), "x").select("i", "a", F.posexplode("x").alias("j", "b")).groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("p")).collect()
-    n, d = sums[0]["n"], len(sums)
-    mean = np.array([r["s"] for r in sums]) / n
-    second = np.zeros((d, d))
-    for r in pairs:
-        second[r["i"], r["j"]] = r["p"] / n
-    return n, mean, second - np.outer(mean, mean)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            if len(batch):
+                m = np.column_stack([np.ones(len(batch)), np.stack(batch["x"].to_numpy())])
+                total = m.T @ m if total is None else total + m.T @ m
+        if total is not None:
+            yield pd.DataFrame({"g": [total.ravel()]})
+
+    # One grid per task; its first row holds the number and the sums of the vectors.
+    cells = x.mapInPandas(sums, "g array<double>").select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+    side = math.isqrt(len(cells))
+    grid = np.array([r["v"] for r in cells]).reshape(side, side)
+    n, mean = int(round(grid[0, 0])), grid[0, 1:] / grid[0, 0]
+    return n, mean, grid[1:, 1:] / grid[0, 0] - np.outer(mean, mean)
 
 
 def mahalanobis(vectors: DataFrame, column: str, reference: DataFrame, shrink: float = 0.1) -> DataFrame:

@@ -49,7 +49,7 @@ def robust_stats(scores: DataFrame, keys: list[str], value: str = "score") -> Da
 def thresholds(scores: DataFrame, rules: DataFrame) -> DataFrame:
     """Thresholds of each cadence and method, with the numbers of scores beyond them: 3 and 5 sigma, and the FAR quantile."""
     keys = ["cadence", "method"]
-    ruled = scores.join(F.broadcast(rules.select("method", "far_quantile")), "method")
+    ruled = scores.join(rules.select("method", "far_quantile"), "method")
     cut = ruled.groupBy(*keys, "far_quantile").agg(F.sort_array(F.collect_list("score")).alias("s"))
     cut = cut.select(*keys, quantile_of_sorted(F.col("s"), F.col("far_quantile")).alias("far_thresh"))
     stats = robust_stats(scores, keys).join(cut, keys)
@@ -88,7 +88,7 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, qs: dict[str,
         bins = rows.groupBy(*keys, *part, "bin").agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         order = (W.partitionBy(*keys, *part)).orderBy("bin")
         bins = bins.withColumn("from", F.col("base") + F.sum("c").over(order) - F.col("c"))
-        bins = bins.join(F.broadcast(need), keys) if keys else bins.crossJoin(F.broadcast(need))  # without keys, one row
+        bins = bins.join(need, keys) if keys else bins.crossJoin(need)  # without keys, one row
         bins = bins.withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("from")) & (r < F.col("from") + F.col("c")))).where("size(ranks) > 0")
         bins = materialize(bins.select(*keys, *part, "bin", "from", "c", *pos, "ranks"), "quantile-bins")
         found.append(bins.where("lo = hi").select(*keys, F.explode("ranks").alias("rank"), F.col("lo").alias("x")))

@@ -39,7 +39,7 @@ def counterfactual_rank(spark: SparkSession, folder: str) -> DataFrame:
 def session_veto(spark: SparkSession, folder: str) -> DataFrame:
     """Other cadences of the night and node with an overlapping cluster, and what remains of the short list."""
     rows = C.veto_counts(_latest(spark, folder).select(*KEYS, "f_start_peak", "f_start_first", "f_start_last", "in_short_list"), FCHANS)
-    ruled = rows.join(F.broadcast(table(spark, folder, "selection_rules").select("method", "veto_min_targets")), "method")
+    ruled = rows.join(table(spark, folder, "selection_rules").select("method", "veto_min_targets"), "method")
     final = F.coalesce(F.col("in_short_list"), F.lit(False)) & ((F.col("veto_min_targets") == 0) | (F.col("n_other") < F.col("veto_min_targets")))
     return ruled.select(*KEYS, "f_start_peak", "n_other", final.alias("final"))
 
@@ -54,7 +54,7 @@ def _regions(spark: SparkSession, folder: str) -> DataFrame:
     """Regions to look for: the spans of the clusters of udma_topk, in the results of every other method."""
     spans = _latest(spark, folder).where("method = 'udma_topk'").select(F.col("cluster_id").alias("region"), "cadence", F.col("f_start_first").alias("lo"), (F.col("f_start_last") + FCHANS).alias("hi"))
     methods = table(spark, folder, "selection_rules").where("method <> 'udma_topk'").agg(F.collect_list("method").alias("m"))  # one row
-    return spans.join(F.broadcast(methods), F.lit(True)).select("region", "cadence", F.explode("m").alias("method"), "lo", "hi")
+    return spans.join(methods, F.lit(True)).select("region", "cadence", F.explode("m").alias("method"), "lo", "hi")
 
 
 def region_association(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,7 +116,7 @@ def rate_at_false_positives(spark: SparkSession, folder: str) -> DataFrame:
     """The share of the short list above the 90th percentile of the scores off it."""
     rows = _latest(spark, folder).where("in_short_list IS NOT NULL AND peak_score IS NOT NULL AND NOT isnan(peak_score)")
     cut = robust.exact_quantiles(rows.where("NOT in_short_list"), ["method"], "peak_score", {"cut": 0.9}).select("method", "cut")
-    return rows.where("in_short_list").join(F.broadcast(cut), "method").groupBy("method").agg(F.round(F.avg((F.col("peak_score") > F.col("cut")).cast("double")), 6).alias("tpr"), F.count("*").alias("n"))
+    return rows.where("in_short_list").join(cut, "method").groupBy("method").agg(F.round(F.avg((F.col("peak_score") > F.col("cut")).cast("double")), 6).alias("tpr"), F.count("*").alias("n"))
 
 
 def effect_sizes(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,6 +10,7 @@ from pyspark.sql import Window as W
 from skylode.functions.morphologies import PATTERNS
 from skylode.operators import maps as M
 from skylode.operators import robust
+from skylode.operators.models import moments
 from skylode.sources.tables import table
 
 #: Maps of one cadence, in order of map_id.
@@ -131,7 +133,7 @@ def hot_fraction_quartiles(spark: SparkSession, folder: str) -> DataFrame:
     hot = _cells(spark, folder).groupBy("map_id").agg(F.avg((F.col("v") > 0.03).cast("double")).alias("h"))
     edges = robust.exact_quantiles(hot, [], "h", {"p25": 0.25, "p75": 0.75}).select("p25", "p75")
     kind = F.when(F.col("h") <= F.col("p25"), "quiet").when(F.col("h") >= F.col("p75"), "bright").otherwise("middle")
-    return hot.join(F.broadcast(edges), F.lit(True)).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.round(F.avg("h"), 6).alias("mean_hot"))
+    return hot.join(edges, F.lit(True)).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.round(F.avg("h"), 6).alias("mean_hot"))
 
 
 def on_off_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -197,7 +199,7 @@ def memory_addressing(spark: SparkSession, folder: str) -> DataFrame:
     slots = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("s")).select(F.col("label").alias("slot"), F.transform("s", lambda p: p["v"]).alias("m"))
     memory = slots.agg(F.sort_array(F.collect_list(F.struct("slot", "m"))).alias("memory"))  # one row: the labels are few
     dots = F.transform("memory", lambda s: F.struct(s["slot"].alias("slot"), F.aggregate(F.zip_with("x", s["m"], lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b * 20).alias("d")))
-    q = x.join(F.broadcast(memory), F.lit(True)).select("vec_id", dots.alias("d"))
+    q = x.join(memory, F.lit(True)).select("vec_id", dots.alias("d"))
     q = q.withColumn("top", F.array_max(F.transform("d", lambda s: s["d"])))
     q = q.withColumn("e", F.transform("d", lambda s: F.struct(s["slot"].alias("slot"), F.exp(s["d"] - F.col("top")).alias("w")))).withColumn("z", M.total(F.transform("e", lambda s: s["w"])))
     q = q.withColumn("w", F.transform("e", lambda s: F.struct(s["slot"].alias("slot"), F.when(s["w"] / F.col("z") >= 0.125, s["w"] / F.col("z")).otherwise(0.0).alias("w"))))
@@ -212,21 +214,16 @@ def reconstruction_losses(spark: SparkSession, folder: str) -> DataFrame:
     """MSE, top-k MSE, masked MSE and pixel disagreement of each vector against its label's mean and a shifted copy."""
     x = table(spark, folder, "embeddings").select("vec_id", "label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
     means = x.groupBy("label", "i").agg(F.avg("x").alias("m"))
-    e = x.join(F.broadcast(means), ["label", "i"]).withColumn("e", (F.col("x") - F.col("m")) * (F.col("x") - F.col("m")))
+    e = x.join(means, ["label", "i"]).withColumn("e", (F.col("x") - F.col("m")) * (F.col("x") - F.col("m")))
     per = e.groupBy("vec_id").agg(F.collect_list("e").alias("es"), F.avg("e").alias("mse"), F.avg(F.when(F.col("i") % 4 == 0, F.col("e"))).alias("masked"), F.avg((F.col("m") - F.col("x") / 2) * (F.col("m") - F.col("x") / 2)).alias("gap"))
     return per.select("vec_id", F.round("mse", 6).alias("mse"), F.round(M.top_mean(F.col("es"), 0.1), 6).alias("topk_mse"), F.round("masked", 6).alias("masked_mse"), F.round("gap", 6).alias("disagreement"))
 
 
 def effective_rank(spark: SparkSession, folder: str) -> DataFrame:
     """Participation ratio of the channels' covariance, (trace C)^2 / trace C^2, which needs no eigenvalues; dead channels."""
-    x = table(spark, folder, "embeddings").select(F.col("embedding").cast("array<double>").alias("x"))
-    # A vector adds 64 × 64 products to partial sums; what is shuffled is one grid per task.
-    pairs = x.select(F.posexplode("x").alias("i", "a"), "x").select("i", "a", F.posexplode("x").alias("j", "b"))
-    cov = pairs.groupBy("i", "j").agg(F.covar_pop("a", "b").alias("c"))
-    return cov.agg(
-        F.round(F.sum(F.when(F.col("i") == F.col("j"), F.col("c"))) * F.sum(F.when(F.col("i") == F.col("j"), F.col("c"))) / F.sum(F.col("c") * F.col("c")), 4).alias("participation"),
-        F.count_if((F.col("i") == F.col("j")) & (F.col("c") < 1e-12)).alias("dead"),
-    )
+    _, _, cov = moments(table(spark, folder, "embeddings"), "embedding")
+    ratio = float(np.trace(cov) ** 2 / (cov * cov).sum())
+    return spark.createDataFrame([(round(ratio, 4), int((np.diag(cov) < 1e-12).sum()))], "participation double, dead long")
 
 
 def injection_recovery(spark: SparkSession, folder: str) -> DataFrame:

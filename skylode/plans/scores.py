@@ -51,12 +51,12 @@ def score_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Each method over all cadences: quantiles of groups that have no bound."""
     scores = _latest(spark, folder).select("method", "score")
     med = robust.exact_quantiles(scores, ["method"], "score", {"median": 0.5, "p99": 0.99})
-    dev = scores.join(F.broadcast(med), "method").select("method", F.abs(F.col("score") - F.col("median")).alias("d"))
+    dev = scores.join(med, "method").select("method", F.abs(F.col("score") - F.col("median")).alias("d"))
     mad = robust.exact_quantiles(dev, ["method"], "d", {"mad": 0.5}).select("method", (F.col("mad") * robust.MAD_SIGMA).alias("mad_sigma"))
     limits = med.join(mad, "method")
     beyond = [F.round(100 * F.avg((F.col("score") > F.col("median") + k * F.col("mad_sigma")).cast("double")), 6).alias(f"pct_{k}sigma") for k in (3, 5)]
     return (
-        scores.join(F.broadcast(limits), "method").groupBy("method", "n", "median", "p99", "mad_sigma")
+        scores.join(limits, "method").groupBy("method", "n", "median", "p99", "mad_sigma")
         .agg(F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 4).alias("std"), F.min("score").alias("lowest"), F.max("score").alias("highest"), *beyond)
         .withColumns(r6("median", "p99", "mad_sigma"))
     )
@@ -144,9 +144,9 @@ def false_positives(spark: SparkSession, folder: str) -> DataFrame:
     scores = _latest(spark, folder)
     local = robust.robust_stats(scores, KEYS).select(*KEYS, (F.col("median") + 5 * F.col("mad_sigma")).alias("own"))
     med = robust.exact_quantiles(scores, ["method"], "score", {"m": 0.5}).select("method", "m")
-    dev = scores.join(F.broadcast(med), "method").select("method", F.abs(F.col("score") - F.col("m")).alias("d"))
+    dev = scores.join(med, "method").select("method", F.abs(F.col("score") - F.col("m")).alias("d"))
     pooled = med.join(robust.exact_quantiles(dev, ["method"], "d", {"s": 0.5}), "method").select("method", (F.col("m") + 5 * robust.MAD_SIGMA * F.col("s")).alias("pooled"))
-    rows = scores.join(local, KEYS).join(F.broadcast(pooled), "method")
+    rows = scores.join(local, KEYS).join(pooled, "method")
     return rows.groupBy(*KEYS).agg(F.count_if(F.col("score") > F.col("own")).alias("n_own"), F.count_if(F.col("score") > F.col("pooled")).alias("n_pooled"), F.count("*").alias("n"))
 
 
