@@ -87,8 +87,7 @@ def mix(documents: DataFrame, weights: DataFrame, total: int | None = None, seed
     cols = ["key", "source", "size", "copies"]
     copies = materialize(sure.select(cols).unionByName(edge.select(cols)).where("copies > 0"), "mix-copies")
     reached = copies.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("used"), F.max("copies").alias("most_copies"))
-    sums = held.agg(F.sum("weight").alias("w")).crossJoin(reached.agg(F.sum("used").alias("u")))  # one row
-    w, u = sums.first()
+    w, u = held.agg(F.sum("weight")).first()[0], reached.agg(F.sum("used")).first()[0]
     report = (
         held.join(chosen.select("source", "planned", "clamped"), "source").join(reached, "source", "left").fillna(0, ["used", "most_copies"])
         .select(

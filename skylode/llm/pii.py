@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import compress
 from typing import NamedTuple
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pandas as pd
@@ -32,7 +34,7 @@ INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad\u200e\u200f"
 DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\uff0d"
 BLANK = "\t\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 PARTICLES = "von|van|der|den|de|del|la|le|du|di|da|фон|вон|ван|де|ла|дер"
-TITLES = "mr|mrs|ms|miss|dr|prof|herr|frau|m|mme|mlle|sr|sra|srta|dra|el sr|la sra|el dr|la dra|г-н|г-жа|господин|госпожа|инженер|доктор|профессор"
+TITLES = "mr|mrs|ms|miss|dr|prof|herr|frau|mme|mlle|sr|sra|srta|dra|el sr|la sra|el dr|la dra|г-н|г-жа|господин|госпожа|инженер|доктор|профессор"
 SURE_TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra|Dra|Г-н|Г-жа|г-н|г-жа"
 ID_LABELS = (
     "passport|ssn|social security number|national id|id number|id no|id card|identity card|dni|nif|nie|iban|pasaporte|n\\.º de identidad|documento de identidad"
@@ -47,17 +49,20 @@ _FOLD = {c: "-" for c in map(ord, DASHES)} | {c: " " for c in map(ord, BLANK)} |
 
 
 def fold(text: str) -> tuple[str, np.ndarray]:
-    """The folded text and, for each of its characters, the place in text."""
-    same = text.translate(_FOLD)
-    keep = np.ones(len(same), bool)
-    for m in regex.finditer(f"[{INVISIBLE}]+", same):
+    """The folded text and, for each of its characters, the place in text: where a letter and its marks are one character
+    in it, the letter's."""
+    chars = text.translate(_FOLD)
+    keep = np.ones(len(chars), bool)
+    for m in regex.finditer(f"[{INVISIBLE}]+|(?<= ) +", chars):
         keep[m.start() : m.end()] = False
+    if not is_normalized("NFC", chars):
+        out = list(chars)
+        for m in regex.finditer(r"\p{L}\p{M}+", chars):
+            if len(one := normalize("NFC", m[0])) == 1:
+                out[m.start()], keep[m.start() + 1 : m.end()] = one, False
+        chars = "".join(out)
     at = np.flatnonzero(keep)
-    bare = same if keep.all() else "".join(regex.split(f"[{INVISIBLE}]+", same))
-    keep = np.ones(len(bare), bool)
-    for m in regex.finditer(" {2,}", bare):
-        keep[m.start() + 1 : m.end()] = False
-    return (bare, at) if keep.all() else (regex.sub(" {2,}", " ", bare), at[keep])
+    return (chars if keep.all() else "".join(compress(chars, keep))), at
 
 
 def luhn(digits: str) -> bool:
@@ -84,9 +89,9 @@ def mod23(text: str) -> bool:
 # -- e-mail ------------------------------------------------------------------------------------------------------------
 _LOCAL, _LABEL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}", r"[A-Za-z0-9-]{1,63}"
 EMAILS = [
-    (regex.compile(rf"{_LOCAL} ?@ ?{_LABEL}(?:\.{_LABEL})+"), 0.9),
+    (regex.compile(rf"{_LOCAL}(?:@| @ ){_LABEL}(?:\.{_LABEL})+"), 0.9),
     (regex.compile(rf"(?i){_LOCAL} ?[\[({{] ?at ?[\])}}] ?{_LABEL}(?:(?:\.| dot | ?[\[({{] ?dot ?[\])}}] ?){_LABEL})+"), 0.9),
-    (regex.compile(rf"(?i){_LOCAL}(?: at | ?@ ?){_LABEL}(?: dot {_LABEL})+"), 0.8),
+    (regex.compile(rf"(?i){_LOCAL}(?: at |@| @ ){_LABEL}(?: dot {_LABEL})+"), 0.8),
 ]
 
 
@@ -148,7 +153,7 @@ def _ids(text: str) -> Iterator[Span]:
 _CAP, _TOWN = r"[\p{Lu}][\p{L}'.-]*", r"[\p{Lu}][\p{L}'-]+(?: [\p{Lu}][\p{L}'-]+){0,2}"
 ADDRESSES = [
     regex.compile(
-        rf"(?<![\p{{L}}\d.,/-])(?:(?:Flat|Apt\.?|Apartment|Unit|Suite) \d{{1,4}}[A-Za-z]?, )?\d{{1,4}}[A-Za-z]? (?:{_CAP} ){{1,4}}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Way|Court|Place|Square|Boulevard|Blvd|Close|Terrace|Crescent)\b\.?"
+        rf"(?<![\p{{L}}\d.,/-])(?:(?:Flat|Apt\.?|Apartment|Unit|Suite) \d{{1,4}}[A-Za-z]?, )?\d{{1,4}}[A-Za-z]? (?:{_CAP} ){{1,4}}(?:(?:St|Rd|Ave|Ln|Blvd)\b\.?|(?:Street|Road|Avenue|Lane|Drive|Way|Court|Place|Square|Boulevard|Close|Terrace|Crescent)\b)"
         rf"(?:, {_TOWN}(?: \d{{4,6}})?)?"
     ),
     regex.compile(
@@ -173,7 +178,9 @@ _WORD = r"[\p{Latin}\p{Cyrillic}]{1,40}(?:['-][\p{Latin}\p{Cyrillic}]{1,40}){0,3
 _TOKEN = rf"(?:[\p{{Latin}}\p{{Cyrillic}}]\.|{_WORD})"
 _NAME = rf"{_TOKEN}(?: {_TOKEN}){{0,5}}?(?:, {_TOKEN}(?: {_TOKEN}){{0,2}}?)?"
 _TITLE = rf"(?:(?i:{TITLES})\.? )"
-_CUT = r"| ?(?:…|\.{3}|$)"
+#: In French alone M. is a title, elsewhere an initial.
+_FRENCH = rf"(?:(?i:{TITLES}|m)\.? )"
+_CUT = r"|[,、]? ?(?:…|\.{3}|$)"
 _EMAIL_NEXT = r"[,、] ?[A-Za-z0-9_%+-]"
 #: What stands before and after a name, by language.
 CONTEXTS = [
@@ -186,13 +193,18 @@ CONTEXTS = [
     ("昨日", "が"), ("連絡先: ?", _EMAIL_NEXT), ("電話し、", "さん"), ("鳴らすと", "が"),
 ]
 #: What follows a name that begins a sentence.
-FOLLOWED = " lives at| wohnt in| habite| vive en| считает|, адрес:|さんによれば|さんの住所|と申します"
+FOLLOWED = " lives at| wohnt in| vive en| считает|, адрес:|さんによれば|さんの住所|と申します"
+FOLLOWED_FRENCH = " habite"
+TITLED_FRENCH = ("Selon ", "demandez ")
 LISTS = [("Present: ", " and "), ("Anwesend: ", " und "), ("Présents ?: ", " et "), ("Presentes: ", " y "), ("Присутствуют: ", " и "), ("出席者: ?", "、料理人")]
 CLOSINGS = "Kind regards|Best regards|Yours sincerely|Sincerely|Mit freundlichen Grüßen|Cordialement|Un saludo|Saludos|С уважением|敬具"
 
-_BETWEEN = [regex.compile(rf"(?<![\p{{Latin}}\p{{Cyrillic}}]){a}{_TITLE}?(?P<name>{_NAME})(?={b}{_CUT})") for a, b in CONTEXTS]
-_BEFORE_VERB = regex.compile(rf"(?:^|[.!?:;\n•)(。、！？-] ?|(?P<title>(?<![\p{{L}}]){_TITLE}))(?P<name>(?!{_TITLE}){_NAME})(?={FOLLOWED})")
-_LISTS = [regex.compile(rf"{a}(?P<list>[^.:;\n]{{0,30}}(?:[.](?=[ ,、])[^.:;\n]{{0,40}}){{0,8}}?|[^:;\n。]{{1,160}}?)(?={b}(?:the |der |die |le |la |el |повар)|{b}{_CUT})") for a, b in LISTS]
+_BETWEEN = [regex.compile(rf"(?<![\p{{Latin}}\p{{Cyrillic}}]){a}{_FRENCH if a in TITLED_FRENCH else _TITLE}?(?P<name>{_NAME})(?={b}{_CUT})") for a, b in CONTEXTS]
+_BEFORE_VERB = [
+    regex.compile(rf"(?:(?:^|(?:(?<!\bP)\.|[!?:;\n•・)(。、！？-]) ?)(?!{title})|(?P<title>(?<![\p{{L}}]){title}))(?P<name>{_NAME})(?={verbs})")
+    for title, verbs in ((_TITLE, FOLLOWED), (_FRENCH, FOLLOWED_FRENCH))
+]
+_LISTS = [regex.compile(rf"{a}(?P<list>[^:;\n。]{{1,160}}?)(?={b}{_CUT})") for a, b in LISTS]
 _SIGNED = regex.compile(rf"(?:{CLOSINGS}),? ?\n{_TITLE}?(?P<name>{_NAME}) ?(?=\n|$)")
 _RECORD = regex.compile(rf"\d ?\| ?{_TITLE}?(?P<name>{_NAME}) ?(?=\||$)")
 _TITLED = regex.compile(rf"(?<![\p{{L}}])(?:{SURE_TITLES})\.? (?P<name>(?:\p{{Lu}}(?:\.|[\p{{L}}'-]+))(?: (?:(?:{PARTICLES}) )*\p{{Lu}}(?:\.|[\p{{L}}'-]+)){{1,3}})")
@@ -219,11 +231,9 @@ def _names(text: str) -> Iterator[Span]:
         capital = any(c.isupper() for c in name)
         return Span("name", m.start("name"), m.end("name"), base + 0.2 * capital - 0.6 * bool(_NOT_NAMES.search(name)))
 
-    for pattern in (*_BETWEEN, _SIGNED, _RECORD):
+    for pattern in (*_BETWEEN, *_BEFORE_VERB, _SIGNED, _RECORD):
         for m in pattern.finditer(text):
             yield scored(m, 0.6)
-    for m in _BEFORE_VERB.finditer(text):
-        yield scored(m, 0.6)
     for m in _TITLED.finditer(text):
         yield scored(m, 0.4)
     for pattern in _LISTS:

@@ -22,7 +22,18 @@ CASES = [
     ("Envíe las piezas a Calle del Romero, n.º 64, 71595 Hollin Fen; se exige pasaporte 947-09-6519.", [("address", "Calle del Romero, n.º 64, 71595 Hollin Fen"), ("id_number", "947-09-6519")]),
     ("Г-жа Ли, Анна, адрес: ул. Ткацкая, д. 184, кв. 2.", [("name", "Ли, Анна"), ("address", "ул. Ткацкая, д. 184, кв. 2")]),
     ("Ann Leeさんの住所は 架空町4丁目7-16 です。", [("name", "Ann Lee"), ("address", "架空町4丁目7-16")]),
+    ("Follow @tellmoor.desk or write.", []),
+    ("P.S. Г-жа Анна Ли, адрес: ул. Ткацкая, д. 1.", [("name", "Анна Ли"), ("address", "ул. Ткацкая, д. 1")]),
+    ("P.S. Ann Lee lives at 8 Mill Road", [("name", "Ann Lee"), ("address", "8 Mill Road")]),
+    ("M. M. Lee habite 9 bis rue des Tisserands.", [("name", "M. Lee"), ("address", "9 bis rue des Tisserands")]),
+    ("Ms. M. O'Hara lives at 8 Mill Road.", [("name", "M. O'Hara"), ("address", "8 Mill Road")]),
+    ("Selon M. Lee, Ann, le signal peut attendre.", [("name", "Lee, Ann")]),
+    ("99047/33 | M. Lee | SSN KK0069556 | 01 99 00 84 51", [("name", "M. Lee"), ("id_number", "KK0069556"), ("phone", "01 99 00 84 51")]),
     ("Present: Lee, Ann, Bo O'Hara and the cook.", [("name", "Lee, Ann"), ("name", "Bo O'Hara")]),
+    ("Present: Ann Lee, B. Hara and the cook. More.", [("name", "Ann Lee"), ("name", "B. Hara")]),
+    ("Mit freundlichen Gru\u0308\u00dfen\nZoe\u0308 Lee\n", [("name", "Zoe\u0308 Lee")]),
+    ("・Lee, Annと申します。", [("name", "Lee, Ann")]),
+    ("Contacto: Ann Lee, ", [("name", "Ann Lee")]),
     ("According to Dr. Ann B. Lee, the map can wait.", [("name", "Ann B. Lee")]),
     ("ich heiße Ann Lee, erreichbar unter ０３−００００−７９５９ oder a@b.test", [("name", "Ann Lee"), ("phone", "０３−００００−７９５９"), ("email", "a@b.test")]),
     ("Kind regards,\nAnn Lee\n8 Mill Road\n555 0199", [("name", "Ann Lee"), ("address", "8 Mill Road"), ("phone", "555 0199")]),
