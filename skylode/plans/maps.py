@@ -86,13 +86,13 @@ def review_list(spark: SparkSession, folder: str) -> DataFrame:
 
 def pooled_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Mean of squares over blocks of 3 × 16 cells of each map, as the stub scorer pools."""
-    pooled = _cells(spark, folder).groupBy("map_id", F.expr("r div 3").alias("br"), F.expr("c div 16").alias("bc"))
+    pooled = _cells(spark, folder).groupBy("map_id", F.expr("r div 3").cast("int").alias("br"), F.expr("c div 16").cast("int").alias("bc"))
     return pooled.agg(F.round(F.avg(F.col("v") * F.col("v")), 6).alias("pooled"))
 
 
 def patches(spark: SparkSession, folder: str) -> DataFrame:
     """Row-major blocks of 2 × 8 cells, numbered, with their sums; and back: the place of a block's first cell."""
-    patch = F.expr("(r div 2) * 8 + (c div 8)")
+    patch = F.expr("(r div 2) * 8 + (c div 8)").cast("int")
     return _cells(spark, folder).groupBy("map_id", patch.alias("patch")).agg(F.round(F.sum("v"), 6).alias("total"), F.min(F.col("r") * 64 + F.col("c")).cast("long").alias("first_cell"))
 
 
@@ -168,7 +168,7 @@ def core_transform(spark: SparkSession, folder: str) -> DataFrame:
 
 def downsampled(spark: SparkSession, folder: str) -> DataFrame:
     """Means of each 5 neighbouring channels; the remainder of 4 is dropped."""
-    return _cells(spark, folder).where("c < (64 div 5) * 5").groupBy("map_id", "r", F.expr("c div 5").alias("c")).agg(F.round(F.avg("v"), 6).alias("v"))
+    return _cells(spark, folder).where("c < (64 div 5) * 5").groupBy("map_id", "r", F.expr("c div 5").cast("int").alias("c")).agg(F.round(F.avg("v"), 6).alias("v"))
 
 
 def striping(spark: SparkSession, folder: str) -> DataFrame:
