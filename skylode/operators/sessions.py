@@ -148,6 +148,7 @@ def sessions_by_batches(events: DataFrame, arrival: str, gap: int, batches: int
     Events without an arrival come with the first batch.
     """
     spark = events.sparkSession
+    events = materialize(events, "session-events")  # read once by each batch and each of its steps
     out = SessionTable(spark, path or scratch_path(spark, "sessions"), gap)
     at = F.unix_micros(F.col(arrival).cast("timestamp"))
     lo, hi = events.agg(F.min(at), F.max(at)).first()
