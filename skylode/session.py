@@ -51,6 +51,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """Write a small file through the file system that holds the path; the path must not exist."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, False)
+    stream.write(content)
+    stream.close()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder, through the file system that holds it."""
     jvm = spark.sparkContext._jvm
