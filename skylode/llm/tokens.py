@@ -13,7 +13,6 @@ import base64
 import hashlib
 import heapq
 import os
-import tempfile
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,6 +24,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skylode.session import scratch_path, write_file
+
 #: Fixed value: the pattern of the vocabulary files that cuts a text into words before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Where the vocabulary files lie unless a query is told otherwise.
@@ -203,9 +204,8 @@ def ship(spark: SparkSession, content: bytes, name: str) -> str:
     name = f"{name}-{hashlib.sha256(content).hexdigest()[:24]}"
     if any(x.endswith(name) for x in spark.sparkContext.listFiles):
         return name
-    path = os.path.join(tempfile.mkdtemp(prefix="skylode-ship-"), name)
-    with open(path, "wb") as out:
-        out.write(content)
+    path = f"{scratch_path(spark, 'ship')}/{name}"
+    write_file(spark, path, content)
     spark.sparkContext.addFile(path)
     return name
 
