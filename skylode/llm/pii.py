@@ -48,12 +48,15 @@ NOT_NAMES = "the|a|an|and|this|that|our|you|der|die|das|und|le|les|et|un|une|el|
 _FOLD = {c: "-" for c in map(ord, DASHES)} | {c: " " for c in map(ord, BLANK)} | {k: chr(k - 0xFEE0) for k in range(0xFF01, 0xFF5F)} | {0x2019: "'", 0x2018: "'", 0x02BC: "'"}
 
 
+_DROPPED = regex.compile(f"[{INVISIBLE}]+|(?<= ) +")
+
+
 def fold(text: str) -> tuple[str, np.ndarray]:
     """The folded text and, for each of its characters, the place in text: where a letter and its marks are one character
     in it, the letter's."""
     chars = text.translate(_FOLD)
     keep = np.ones(len(chars), bool)
-    for m in regex.finditer(f"[{INVISIBLE}]+|(?<= ) +", chars):
+    for m in _DROPPED.finditer(chars):
         keep[m.start() : m.end()] = False
     if not is_normalized("NFC", chars):
         out = list(chars)
@@ -96,11 +99,16 @@ EMAILS = [
 
 
 def _emails(text: str) -> Iterator[Span]:
+    if "@" not in text and not _AT(text):
+        return
     for pattern, score in EMAILS:
         for m in pattern.finditer(text):
             yield Span("email", m.start(), m.end(), score)
 
 
+_AT = regex.compile(r"(?i)at ?[\])}]| dot ").search
+
+
 # -- phone -------------------------------------------------------------------------------------------------------------
 _BEFORE, _EXT = r"(?<![A-Za-z0-9+.,/#-])", r"(?: ?(?:ext|extn|x|доб|app|poste)\.? ?\d{1,5})?"
 PHONES = [
@@ -113,11 +121,14 @@ PHONES = [
     (regex.compile(rf"{_BEFORE}(?<!\d )(?:\(555\) ?|555[ -])\d{{4}}{_EXT}(?!\d)(?![ -]\d{{3}})"), 0.55),
     (regex.compile(rf"{_BEFORE}(?<!\d )(?:\(\d{{3}}\) ?|\d{{3}}-)(?:\d{{3}}[ .-])?\d{{4}}{_EXT}(?!\d)(?![ -]\d{{3}})"), 0.35),
 ]
+_DIGITS = regex.compile(r"\d[ .-]?\d[ )./-]{0,3}\d").search
 _PHONE_WORDS = regex.compile(rf"(?i)(?:{PHONE_WORDS})")
 _NOT_PERSONAL = regex.compile(rf"(?i)(?:{NOT_PERSONAL})[ .:#]{{0,3}}$")
 
 
 def _phones(text: str) -> Iterator[Span]:
+    if not _DIGITS(text):
+        return
     for pattern, base in PHONES:
         for m in pattern.finditer(text):
             if not 7 <= sum(c.isdigit() for c in m[0]) <= 20:
@@ -140,6 +151,8 @@ UNLABELLED = regex.compile(rf"(?<![\p{{L}}\d.+/-])(?P<v>{_VALUE})(?![\p{{L}}\d])
 
 
 def _ids(text: str) -> Iterator[Span]:
+    if not _DIGITS(text):
+        return
     for m in LABELLED.finditer(text):
         yield Span("id_number", m.start("v"), m.end("v"), 0.9)
     for m in UNLABELLED.finditer(text):
@@ -167,8 +180,24 @@ ADDRESSES = [
 ]
 
 
+#: What a text must hold for the pattern of the same place; looking for a word is far cheaper than matching.
+_STREETS = [
+    regex.compile(w).search
+    for w in (
+        r"\b(?:St|Street|Rd|Road|Ave|Avenue|Ln|Lane|Drive|Way|Court|Place|Square|Blvd|Boulevard|Close|Terrace|Crescent)\b",
+        r"(?:straße|strasse|str\.|platz|weg|gasse|allee|ring|ufer|damm|(?:Am|An der|Auf dem|Im|In der|Zum|Zur|Unter den) \p{L}+) \d",
+        r"(?:rue|bd|boulevard|avenue|av\.|chemin|place|quai|allée|impasse|route) ",
+        r"Calle|C/|Avda|Avenida|Plaza|Pza|Paseo|Camino|Ronda",
+        r"(?:д\.|дом) ?\d",
+        "丁目",
+    )
+]
+
+
 def _addresses(text: str) -> Iterator[Span]:
-    for pattern in ADDRESSES:
+    for pattern, there in zip(ADDRESSES, _STREETS, strict=True):
+        if not there(text):
+            continue
         for m in pattern.finditer(text):
             yield Span("address", m.start(), m.end() - (m[0][-1] == "." and pattern is not ADDRESSES[0]), 0.8)
 
@@ -199,12 +228,20 @@ TITLED_FRENCH = ("Selon ", "demandez ")
 LISTS = [("Present: ", " and "), ("Anwesend: ", " und "), ("Présents ?: ", " et "), ("Presentes: ", " y "), ("Присутствуют: ", " и "), ("出席者: ?", "、料理人")]
 CLOSINGS = "Kind regards|Best regards|Yours sincerely|Sincerely|Mit freundlichen Grüßen|Cordialement|Un saludo|Saludos|С уважением|敬具"
 
+def _literal(pattern: str) -> str:
+    """A text that every match of a simple pattern holds."""
+    return max(regex.split(r"[^\p{L}' ,:]+", regex.sub(r".\?", "?", pattern)), key=len)
+
+
 _BETWEEN = [regex.compile(rf"(?<![\p{{Latin}}\p{{Cyrillic}}]){a}{_FRENCH if a in TITLED_FRENCH else _TITLE}?(?P<name>{_NAME})(?={b}{_CUT})") for a, b in CONTEXTS]
+_NEEDS = [_literal(a) for a, _ in CONTEXTS] + [FOLLOWED, FOLLOWED_FRENCH, "\n", "|"]
 _BEFORE_VERB = [
     regex.compile(rf"(?:(?:^|(?:(?<!\bP)\.|[!?:;\n•・)(。、！？-]) ?)(?!{title})|(?P<title>(?<![\p{{L}}]){title}))(?P<name>{_NAME})(?={verbs})")
     for title, verbs in ((_TITLE, FOLLOWED), (_FRENCH, FOLLOWED_FRENCH))
 ]
 _LISTS = [regex.compile(rf"{a}(?P<list>[^:;\n。]{{1,160}}?)(?={b}{_CUT})") for a, b in LISTS]
+_LISTS_NEED = [_literal(a) for a, _ in LISTS]
+_VERBS = FOLLOWED.split("|")
 _SIGNED = regex.compile(rf"(?:{CLOSINGS}),? ?\n{_TITLE}?(?P<name>{_NAME}) ?(?=\n|$)")
 _RECORD = regex.compile(rf"\d ?\| ?{_TITLE}?(?P<name>{_NAME}) ?(?=\||$)")
 _TITLED = regex.compile(rf"(?<![\p{{L}}])(?:{SURE_TITLES})\.? (?P<name>(?:\p{{Lu}}(?:\.|[\p{{L}}'-]+))(?: (?:(?:{PARTICLES}) )*\p{{Lu}}(?:\.|[\p{{L}}'-]+)){{1,3}})")
@@ -231,13 +268,14 @@ def _names(text: str) -> Iterator[Span]:
         capital = any(c.isupper() for c in name)
         return Span("name", m.start("name"), m.end("name"), base + 0.2 * capital - 0.6 * bool(_NOT_NAMES.search(name)))
 
-    for pattern in (*_BETWEEN, *_BEFORE_VERB, _SIGNED, _RECORD):
-        for m in pattern.finditer(text):
-            yield scored(m, 0.6)
+    for pattern, needs in zip((*_BETWEEN, *_BEFORE_VERB, _SIGNED, _RECORD), _NEEDS, strict=True):
+        if needs in text or (needs == FOLLOWED and any(verb in text for verb in _VERBS)):
+            for m in pattern.finditer(text):
+                yield scored(m, 0.6)
     for m in _TITLED.finditer(text):
         yield scored(m, 0.4)
-    for pattern in _LISTS:
-        for m in pattern.finditer(text):
+    for pattern, needs in zip(_LISTS, _LISTS_NEED, strict=True):
+        for m in pattern.finditer(text) if needs in text else ():
             for a, b in _listed(text, m.start("list"), m.end("list")):
                 if regex.fullmatch(_NAME, text[a:b]) and not _NOT_NAMES.search(text[a:b]):
                     yield Span("name", a, b, 0.7)
