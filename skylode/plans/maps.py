@@ -46,22 +46,23 @@ def map_peaks(spark: SparkSession, folder: str) -> DataFrame:
     return peaks.select("map_id", "col_peak", *[F.round(F.get("p", F.lit(r)), 6).alias(f"row_{r}") for r in range(6)])
 
 
-def off_ceilings(spark: SparkSession, folder: str) -> DataFrame:
-    """The sigma-clipped ceiling of each cadence's OFF cells, beside five sigma of its scores; the larger one binds."""
+def _ceilings(spark: SparkSession, folder: str) -> DataFrame:
     maps = _scored(spark, folder)
     off = maps.select("cadence", F.posexplode("amap").alias("r", "row")).where(F.col("r").isin(*M.OFF)).select("cadence", F.explode("row").alias("v"))
     ceiling = robust.clipped_ceiling(off, ["cadence"], "v")
-    five = robust.robust_stats(maps, ["cadence"]).select("cadence", (F.col("median") + 5 * F.col("mad_sigma")).alias("thresh_5"))
-    both = ceiling.join(five, "cadence")
+    five = robust.robust_stats(maps.select("cadence", "score"), ["cadence"]).select("cadence", (F.col("median") + 5 * F.col("mad_sigma")).alias("thresh_5"))
     floored = F.when(F.col("n") >= MIN_POOL, F.greatest("ceiling", "thresh_5")).otherwise(F.col("thresh_5"))
-    return both.select("cadence", "n", "n_kept", F.round("ceiling", 6).alias("ceiling"), F.round("thresh_5", 6).alias("thresh_5"), F.round(floored, 6).alias("off_ceiling"))
+    return ceiling.join(five, "cadence").withColumn("off_ceiling", floored)
+
+
+def off_ceilings(spark: SparkSession, folder: str) -> DataFrame:
+    """The sigma-clipped ceiling of each cadence's OFF cells, beside five sigma of its scores; the larger one binds."""
+    return _ceilings(spark, folder).select("cadence", "n", "n_kept", *[F.round(c, 6).alias(c) for c in ("ceiling", "thresh_5", "off_ceiling")])
 
 
 def _decided(spark: SparkSession, folder: str, leak_ref: str, single: float | None) -> DataFrame:
-    maps = _maps(spark, folder)
-    off = maps.select("cadence", F.posexplode("amap").alias("r", "row")).where(F.col("r").isin(*M.OFF)).select("cadence", F.explode("row").alias("v"))
-    cut = off.groupBy("cadence").agg(F.round(F.percentile("v", F.lit(0.99)), 6).alias("off_ceiling"))
-    ready = M.contrast(maps.join(cut, "cadence"), F.col("off_ceiling"))
+    cut = _ceilings(spark, folder).select("cadence", "off_ceiling")
+    ready = M.contrast(_maps(spark, folder).join(cut, "cadence"), F.col("off_ceiling"))
     return M.verdict(ready, F.col("off_ceiling"), F.lit(0.3), leak_ref, None if single is None else F.lit(single))
 
 
@@ -69,12 +70,12 @@ _VERDICT = ["cadence", "map_id", "off_ceiling", "n_on_hits", "n_off_hits", "n_on
 
 
 def verdict_production(spark: SparkSession, folder: str) -> DataFrame:
-    out = _decided(spark, folder, "weakest_on", None)
+    out = _decided(spark, folder, "weakest_on", None).withColumn("off_ceiling", F.round("off_ceiling", 6))
     return out.select(*_VERDICT, *[F.round(c, 6).alias(c) for c in ("on_off_contrast", "on_mean", "off_mean")])
 
 
 def verdict_hit_reference(spark: SparkSession, folder: str) -> DataFrame:
-    return _decided(spark, folder, "weakest_hit_on", 1.0).select(*_VERDICT)
+    return _decided(spark, folder, "weakest_hit_on", 1.0).withColumn("off_ceiling", F.round("off_ceiling", 6)).select(*_VERDICT)
 
 
 def review_list(spark: SparkSession, folder: str) -> DataFrame:
@@ -228,11 +229,9 @@ def effective_rank(spark: SparkSession, folder: str) -> DataFrame:
 
 def injection_recovery(spark: SparkSession, folder: str) -> DataFrame:
     """Maps with a bright cell put into the ON rows of each pattern, snr times the map's cell deviation, decided again at
-    their cadence's cut: what share reaches the short list, by pattern and snr. Maps that are listed without it are left
-    out. The cut stays that of the untouched cadence, as one signal among its windows hardly moves it."""
-    maps = _maps(spark, folder)
-    off = maps.select("cadence", F.posexplode("amap").alias("r", "row")).where(F.col("r").isin(*M.OFF)).select("cadence", F.explode("row").alias("v"))
-    cut = off.groupBy("cadence").agg(F.round(F.percentile("v", F.lit(0.99)), 6).alias("off_ceiling"))
+    their cadence's ceiling: what share reaches the short list, by pattern and snr. Maps that are listed without it are left
+    out. The ceiling stays that of the untouched cadence, as one signal among its windows hardly moves it."""
+    maps, cut = _maps(spark, folder), _ceilings(spark, folder).select("cadence", "off_ceiling")
     flat = F.flatten("amap")
     sigma = F.sqrt(M.mean(F.transform(flat, lambda x: x * x)) - M.mean(flat) * M.mean(flat))
     base = M.verdict(maps.join(cut, "cadence"), F.col("off_ceiling"), F.lit(0.3)).where("NOT in_short_list").select("map_id", "amap", "off_ceiling", sigma.alias("sigma"))
