@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 #: {node}_guppi_{mjd_day}_{mjd_sec}_{TARGET...}_{scan}.rawspec.{product}.h5
 NAME = r"^([^_]+)_guppi_(\d{1,9})_(\d{1,9})_(.+)_([^_]+)\.rawspec\.([^.]+)\.h5$"
 BLANKS = " \t\r\n\u00a0\u3000"
+#: A sign, digits with a decimal point or comma, an exponent.
+NUMBER = r"^[+-]?((?:\d+(?:[.,]\d*)?|[.,]\d+)(?:[eE][+-]?\d+)?)$"
+#: A value above JULIAN is a Julian date, MJD + JD_OFFSET.
+JULIAN, JD_OFFSET = 2_000_000.0, 2_400_000.5
 
 
 def base_name(path: Column) -> Column:
@@ -20,6 +24,17 @@ def trimmed(text: Column) -> Column:
     return F.nullif(F.btrim(text, F.lit(BLANKS)), F.lit(""))
 
 
+def finite(value: Column) -> Column:
+    """value, or null where it is NaN or infinite."""
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+
+
+def mjd(text: Column) -> Column:
+    """The Modified Julian Date of a text written by any tool; null where it isn't a finite number."""
+    value = finite(F.replace(F.regexp_extract(F.btrim(text, F.lit(BLANKS)), NUMBER, 1), F.lit(","), F.lit(".")).try_cast("double"))
+    return F.when(value > JULIAN, value - JD_OFFSET).otherwise(value)
+
+
 def name_part(base: Column, part: int) -> Column:
     """A part of a file name: 1 node, 2 day, 3 second, 4 target, 5 scan, 6 product; null where the name isn't one."""
     return F.nullif(F.regexp_extract(base, NAME, part), F.lit(""))

@@ -14,19 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from skylode.functions.observations import BLANKS
-
-#: A sign, digits with a decimal point or comma, an exponent.
-NUMBER = r"^[+-]?((?:\d+(?:[.,]\d*)?|[.,]\d+)(?:[eE][+-]?\d+)?)$"
-#: A value above JULIAN is a Julian date, MJD + JD_OFFSET.
-JULIAN, JD_OFFSET = 2_000_000.0, 2_400_000.5
-
-
-def mjd(text: Column) -> Column:
-    """The Modified Julian Date of a text written by any tool; null where it isn't a finite number."""
-    value = F.replace(F.regexp_extract(F.btrim(text, F.lit(BLANKS)), NUMBER, 1), F.lit(","), F.lit(".")).try_cast("double")
-    finite = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
-    return F.when(finite > JULIAN, finite - JD_OFFSET).otherwise(finite)
+from skylode.functions.observations import mjd as mjd  # the rule by which queries read a start
 
 
 def match_nearest(starts: DataFrame, leaves: DataFrame, tolerance: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from skylode.functions.observations import base_name, node_key, observations, trimmed
+from skylode.functions.observations import base_name, finite, mjd, node_key, observations, trimmed
 from skylode.operators import catalogue as C
 from skylode.operators.islands import running_total
 from skylode.operators.sessions import sessions_by_batches
@@ -108,15 +108,15 @@ def night_gaps(spark: SparkSession, folder: str) -> DataFrame:
 
 def header_mismatches(spark: SparkSession, folder: str) -> DataFrame:
     """Second-product starts beside the first product's header of the same node and scan: band within 0.01 MHz, start
-    within one second. A row whose numbers can't be read is compared as far as they can."""
+    within one second; a Julian date is converted. A row whose numbers can't be read is compared as far as they can."""
     rows = table(spark, folder, "association_rows").withColumn("k", C.node_scan_key(base_name(F.col("file"))))
     refs = table(spark, folder, "scan_headers").where("product = '0000' AND parse_error IS NULL").withColumn("k", C.node_scan_key(base_name(F.col("file"))))
     refs = refs.groupBy("k").agg(F.min_by(F.struct("f_start_mhz", "f_stop_mhz", "tstart_mjd"), "header_id").alias("r"))
-    number = lambda c: F.regexp_replace(trimmed(F.col(c)), ",", ".").try_cast("double")
-    both = rows.join(refs, "k").select("row_id", number("f_start_mhz").alias("a"), number("f_stop_mhz").alias("b"), number("tstart_mjd").alias("t"), "r")
-    band = (F.abs(F.col("a") - F.col("r.f_start_mhz")) > 0.01) | (F.abs(F.col("b") - F.col("r.f_stop_mhz")) > 0.01)
-    start = F.abs(F.col("t") - F.col("r.tstart_mjd")) * 86400 > 1.0
-    both = both.where("r.f_start_mhz IS NOT NULL AND NOT isnan(r.f_start_mhz) AND r.tstart_mjd IS NOT NULL AND NOT isnan(r.tstart_mjd) AND t < 2000000")
+    number = lambda c: finite(F.regexp_replace(trimmed(F.col(c)), ",", ".").try_cast("double"))
+    both = rows.join(refs, "k").select("row_id", number("f_start_mhz").alias("a"), number("f_stop_mhz").alias("b"), mjd(F.col("tstart_mjd")).alias("t"), "r")
+    # Null OR true is true: one edge that can be read and differs is enough.
+    band = (F.abs(F.col("a") - finite(F.col("r.f_start_mhz"))) > 0.01) | (F.abs(F.col("b") - finite(F.col("r.f_stop_mhz"))) > 0.01)
+    start = F.abs(F.col("t") - finite(F.col("r.tstart_mjd"))) * 86400 > 1.0
     return both.select("row_id", F.coalesce(band, F.lit(False)).alias("band_vs_0000"), F.coalesce(start, F.lit(False)).alias("tstart_vs_0000"))
 
 
