@@ -148,8 +148,8 @@ def factorial_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def detection_floor(spark: SparkSession, folder: str) -> DataFrame:
-    """The lowest whole contrast, up to 20, at which half of a method's clusters are listed."""
-    rows = _latest(spark, folder).where("on_off_contrast BETWEEN 0 AND 20")
+    """The lowest whole contrast at which half of a method's clusters are listed."""
+    rows = _latest(spark, folder).where("on_off_contrast >= 0 AND on_off_contrast < double('infinity')")  # NaN is greater than infinity
     rates = rows.groupBy("method", F.floor("on_off_contrast").cast("long").alias("level")).agg(F.avg(F.col("in_short_list").cast("double")).alias("rate"))
     return E.lowest_passing(rates, ["method"], "level", "rate", 0.5)
 
