@@ -39,9 +39,23 @@ def moments(vectors: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarra
     return n, mean, grid[1:, 1:] / grid[0, 0] - np.outer(mean, mean)
 
 
-def mahalanobis(vectors: DataFrame, column: str, reference: DataFrame, shrink: float = 0.1) -> DataFrame:
-    """vectors with `distance` from the reference's mean, by its covariance shrunk towards its mean variance."""
-    _, mean, cov = moments(reference, column)
+def ledoit_wolf(vectors: DataFrame, column: str, n: int, mean: np.ndarray, cov: np.ndarray) -> float:
+    """The Ledoit-Wolf share of the mean variance in the shrunk covariance, from the moments and one more sum over all
+    vectors, that of the fourth powers of their distances from the mean."""
+    centred = F.zip_with(F.col(column).cast("array<double>"), F.array(*map(F.lit, map(float, mean))), lambda a, b: a - b)
+    square = F.aggregate(centred, F.lit(0.0), lambda a, x: a + x * x)
+    fourth = vectors.where(F.col(column).isNotNull()).agg(F.sum(square * square)).first()[0]
+    p, norm = len(mean), float((cov * cov).sum())
+    away = (norm - np.trace(cov) ** 2 / p) / p
+    noise = min((fourth / n - norm) / (n * p), away)
+    return max(0.0, noise / away) if away > 0 else 0.0
+
+
+def mahalanobis(vectors: DataFrame, column: str, reference: DataFrame, shrink: float | None = None) -> DataFrame:
+    """vectors with `distance` from the reference's mean, by its covariance shrunk towards its mean variance, by the
+    coefficient of Ledoit and Wolf unless one is given."""
+    n, mean, cov = moments(reference, column)
+    shrink = ledoit_wolf(reference, column, n, mean, cov) if shrink is None else shrink
     target = np.eye(len(mean)) * np.trace(cov) / len(mean)
     root = np.linalg.cholesky(np.linalg.inv((1 - shrink) * cov + shrink * target)).T
     rows = [F.array(*map(F.lit, map(float, r))) for r in root]
