@@ -63,18 +63,19 @@ def region_association(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def region_merges(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether the cluster chosen for a region overlaps one of the recorded background, the clusters of ae_recon."""
-    best = C.associate(_regions(spark, folder), _latest(spark, folder).where("peak_score IS NOT NULL AND NOT isnan(peak_score)"), FCHANS).where("method = 'vit_cadence'")
+    """Whether the cluster chosen for a region in a method's results overlaps one of the recorded background, the clusters
+    of ae_recon; in ae_recon's own results it always does."""
+    best = C.associate(_regions(spark, folder), _latest(spark, folder).where("peak_score IS NOT NULL AND NOT isnan(peak_score)"), FCHANS)
     back = _latest(spark, folder).where("method = 'ae_recon'").select("cadence", F.col("f_start_first").alias("b0"), (F.col("f_start_last") + FCHANS).alias("b1"))
-    hits = overlap_join(best.select("region", "cadence", "first", "end"), back, ["cadence"], "first", "end", "b0", "b1", 8192).select("region").distinct().withColumn("merged", F.lit(True))
-    return best.select("region", "cadence", "f_start_peak").join(hits, "region", "left").fillna(False, ["merged"])
+    hits = overlap_join(best.select("region", *KEYS, "first", "end"), back, ["cadence"], "first", "end", "b0", "b1", 8192).select("region", "method").distinct().withColumn("merged", F.lit(True))
+    return best.select("region", *KEYS, "f_start_peak").join(hits, ["region", "method"], "left").fillna(False, ["merged"])
 
 
 def region_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """The windows that touch each region, by the region's own method: their number and best score."""
-    scores = robust.latest_scores(table(spark, folder, "window_scores")).where("method = 'udma_topk'").select("cadence", F.col("f_start").alias("w0"), (F.col("f_start") + FCHANS).alias("w1"), "score")
+    """The windows that touch each region in the scores of every method: their number and best score."""
+    scores = robust.latest_scores(table(spark, folder, "window_scores")).select(*KEYS, F.col("f_start").alias("w0"), (F.col("f_start") + FCHANS).alias("w1"), "score")
     regions = _latest(spark, folder).where("method = 'udma_topk'").select(F.col("cluster_id").alias("region"), "cadence", F.col("f_start_first").alias("lo"), (F.col("f_start_last") + FCHANS).alias("hi"))
-    return overlap_join(regions, scores, ["cadence"], "lo", "hi", "w0", "w1", 8192).groupBy("region").agg(F.count("*").alias("n_windows"), F.max("score").alias("max_window_score"))
+    return overlap_join(regions, scores, ["cadence"], "lo", "hi", "w0", "w1", 8192).groupBy("region", "method").agg(F.count("*").alias("n_windows"), F.max("score").alias("max_window_score"))
 
 
 def verdict_audit(spark: SparkSession, folder: str) -> DataFrame:
