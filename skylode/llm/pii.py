@@ -117,8 +117,9 @@ PHONES = [
     (regex.compile(rf"{_BEFORE}0\d{{2,4}} ?(?:/|-| ) ?\d{{5}}[ -]?\d{{3}}{_EXT}(?!\d)"), 0.55),
     (regex.compile(rf"{_BEFORE}07\d{{3}}[ -]\d{{3}} ?\d{{3}}{_EXT}(?!\d)"), 0.6),
     (regex.compile(rf"{_BEFORE}0[1-9](?:[ .-]\d{{2}}){{4}}{_EXT}(?!\d)"), 0.6),
-    (regex.compile(rf"{_BEFORE}0\d-\d{{4}}-\d{{4}}{_EXT}(?!\d)"), 0.55),
     (regex.compile(rf"{_BEFORE}(?<!\d )(?:\(555\) ?|555[ -])\d{{4}}{_EXT}(?!\d)(?![ -]\d{{3}})"), 0.55),
+    (regex.compile(rf"{_BEFORE}0(?:[5-9]0-\d{{4}}|\d-\d{{4}}|\d{{2}}-\d{{3,4}}|\d{{3}}-\d{{2,3}})-\d{{4}}{_EXT}(?!\d)"), 0.55),
+    (regex.compile(rf"{_BEFORE}(?<!\d )(?:\([2-9]\d{{2}}\)[ -]?\d{{3}}[ .-]|[2-9]\d{{2}}-\d{{3}}-|[2-9]\d{{2}}\.\d{{3}}\.)\d{{4}}{_EXT}(?!\d)(?![ -]\d{{3}})"), 0.55),
     (regex.compile(rf"{_BEFORE}(?<!\d )(?:\(\d{{3}}\) ?|\d{{3}}-)(?:\d{{3}}[ .-])?\d{{4}}{_EXT}(?!\d)(?![ -]\d{{3}})"), 0.35),
 ]
 _DIGITS = regex.compile(r"\d[ .-]?\d[ )./-]{0,3}\d").search
@@ -226,6 +227,29 @@ FOLLOWED = " lives at| wohnt in| vive en| считает|, адрес:|さんに
 FOLLOWED_FRENCH = " habite"
 TITLED_FRENCH = ("Selon ", "demandez ")
 LISTS = [("Present: ", " and "), ("Anwesend: ", " und "), ("Présents ?: ", " et "), ("Presentes: ", " y "), ("Присутствуют: ", " и "), ("出席者: ?", "、料理人")]
+#: What people do, are called by, or are introduced with, and what stands before places; they move a capitalised run's score.
+DEEDS = (
+    "wrote|writes|said|says|called|calls|phoned|asked|asks|told|sent|sends|replied|answered|works|worked|lived|lives|joined|met|thinks|signed|visited|spoke|agreed|thanked"
+    "|schrieb|schreibt|sagte|sagt|rief|ruft|fragte|fragt|antwortete|wohnt|arbeitet|meint|unterschrieb|besuchte"
+    "|a écrit|écrit|a dit|dit|a appelé|appelle|a demandé|demande|a répondu|répond|habite|travaille|pense|a signé"
+    "|escribió|escribe|dijo|dice|llamó|preguntó|pregunta|respondió|vive|trabaja|cree|firmó"
+    "|написала?|пишет|сказала?|говорит|позвонила?|звонит|спросила?|ответила?|живёт|живет|работает|считает|подписала?"
+)
+INTRODUCED = (
+    "dear|hello|hi|thanks|by|with|signed|attn|name|lieber?|geehrte[rn]?|hallo|mit|cher|chère|bonjour|merci|par|avec|nom|estimad[oa]|querid[oa]|hola|gracias|con|nombre"
+    "|уважаем(?:ый|ая)|здравствуйте|спасибо|имя|фио|氏名|お名前"
+)
+PLACED = (
+    "in|at|near|to|of|between|over|toward|towards|through|the|our|aus|nach|bei|zwischen|über|am|im|der|die|das|dem|den|à|de|entre|vers|sur|la|le|du|en|desde|hacia|sobre|el|del"
+    "|в|из|от|к|у|на|над|между|около|and|und|et|y|и"
+)
+#: What begins a sentence before a name and isn't part of it.
+OPENERS = (
+    "Yesterday|Today|Tomorrow|Then|When|Since|Call|Write|Ask|Please|But|And|If|As|For|After|Before|Our|The|This|That|In|At|On|By|With|From|To|Dear|Hello|Hi|Thanks|Signed|Follow|See|Second|Step|Is"
+    "|Gestern|Heute|Morgen|Dann|Der|Die|Das|Ein|Eine|Ab|Wenn|Und|Aber|Lieber?|Hallo|Folgen|Rufen|Schreiben|Mit|Von"
+    "|Hier|Demain|Puis|Le|La|Les|Un|Une|Cher|Chère|Bonjour|Merci|Par|Avec|Ayer|Hoy|El|Los|Las|Una|Estimad[oa]|Querid[oa]|Hola|Con|Por"
+    "|Вчера|Сегодня|Завтра|Потом|Уважаем(?:ый|ая)|Здравствуйте|В|И|На|От"
+)
 CLOSINGS = "Kind regards|Best regards|Yours sincerely|Sincerely|Mit freundlichen Grüßen|Cordialement|Un saludo|Saludos|С уважением|敬具"
 
 def _literal(pattern: str) -> str:
@@ -239,12 +263,18 @@ _BEFORE_VERB = [
     regex.compile(rf"(?:(?:^|(?:(?<!\bP)\.|[!?:;\n•・)(。、！？-]) ?)(?!{title})|(?P<title>(?<![\p{{L}}]){title}))(?P<name>{_NAME})(?={verbs})")
     for title, verbs in ((_TITLE, FOLLOWED), (_FRENCH, FOLLOWED_FRENCH))
 ]
-_LISTS = [regex.compile(rf"{a}(?P<list>[^:;\n。]{{1,160}}?)(?={b}{_CUT})") for a, b in LISTS]
+_LISTS = [regex.compile(rf"{a}(?P<list>[^:;\n。]+?)(?={b}{_CUT})") for a, b in LISTS]
 _LISTS_NEED = [_literal(a) for a, _ in LISTS]
 _VERBS = FOLLOWED.split("|")
 _SIGNED = regex.compile(rf"(?:{CLOSINGS}),? ?\n{_TITLE}?(?P<name>{_NAME}) ?(?=\n|$)")
 _RECORD = regex.compile(rf"\d ?\| ?{_TITLE}?(?P<name>{_NAME}) ?(?=\||$)")
-_TITLED = regex.compile(rf"(?<![\p{{L}}])(?:{SURE_TITLES})\.? (?P<name>(?:\p{{Lu}}(?:\.|[\p{{L}}'-]+))(?: (?:(?:{PARTICLES}) )*\p{{Lu}}(?:\.|[\p{{L}}'-]+)){{1,3}})")
+_TITLED = regex.compile(rf"(?<![\p{{L}}])(?:{SURE_TITLES})\.? (?P<name>(?:\p{{Lu}}(?:\.|[\p{{L}}'-]+))(?: (?:(?:{PARTICLES}) )*\p{{Lu}}(?:\.|[\p{{L}}'-]+)){{1,3}}|\p{{Lu}}(?:[\p{{Latin}}\p{{Cyrillic}}]|['-](?=\p{{L}}))+)")
+_RUN_WORD = r"\p{Lu}(?:[\p{Latin}\p{Cyrillic}]|['-](?=\p{L}))+"
+_RUN = regex.compile(rf"(?<![\p{{Latin}}\p{{Cyrillic}}\p{{N}}@._/'-])(?!(?:{OPENERS})\b)(?P<name>{_RUN_WORD}(?: (?:\p{{Lu}}\.|{_RUN_WORD})){{0,2}} (?:(?:{PARTICLES}) )*(?!(?:{OPENERS})\b){_RUN_WORD}|(?:\p{{Lu}}\. ){{1,2}}(?!(?:{OPENERS}|[LD]')\b)(?:(?:{PARTICLES}) )*{_RUN_WORD})(?![\p{{Latin}}\p{{Cyrillic}}@-])")
+_DEEDS = regex.compile(rf" (?:{DEEDS})(?!\p{{L}})|さん|様|氏|先生")
+_INTRODUCED = regex.compile(rf"(?i)(?<!\p{{L}})(?:{INTRODUCED})[,:]? ?$")
+_PLACED = regex.compile(rf"(?i)(?<!\p{{L}})(?:{PLACED}) $")
+_REACHED = regex.compile(r",? ?[<(]?(?:[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@|\+\d)")
 _NOT_NAMES = regex.compile(rf"(?i)(?:^|[ ,])(?:{NOT_NAMES})(?:[ ,]|$)|^(?:{TITLES})\.?$")
 _SURNAME = regex.compile(rf"(?i)(?:(?:{PARTICLES}) )*{_WORD}")
 
@@ -274,6 +304,10 @@ def _names(text: str) -> Iterator[Span]:
                 yield scored(m, 0.6)
     for m in _TITLED.finditer(text):
         yield scored(m, 0.4)
+    for m in _RUN.finditer(text):
+        before = text[max(0, m.start() - 20) : m.start()]
+        cues = bool(_DEEDS.match(text, m.end())) + bool(_INTRODUCED.search(before)) + bool(_REACHED.match(text, m.end()))
+        yield scored(m, 0.25 + 0.2 * cues - 0.3 * bool(_PLACED.search(before)))
     for pattern, needs in zip(_LISTS, _LISTS_NEED, strict=True):
         for m in pattern.finditer(text) if needs in text else ():
             for a, b in _listed(text, m.start("list"), m.end("list")):
