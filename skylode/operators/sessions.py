@@ -9,12 +9,13 @@ all rows is spread over its buckets.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from skylode.session import materialize, scratch_path
+from skylode.session import Scratch, drop_path, scratch_path
 
 BUCKET = 21_600
 PERIOD = 30 * 86_400
@@ -26,23 +27,24 @@ def merge_intervals(intervals: DataFrame, gap: int, bucket: int = BUCKET) -> Dat
     intervals: key, start, end, n (long, end >= start). Rows with a null key or start are left out; a null end is the
     start. Equal intervals add up. Empty input gives no row.
     """
-    one = (
+    inside = W.partitionBy("key", "b").orderBy("start")
+    reach = F.max("end").over(inside.rowsBetween(W.unboundedPreceding, -1))
+    opens = F.when(reach.isNull() | (F.col("start") > reach + gap), F.col("start"))
+    local = (
         intervals.where(F.col("key").isNotNull() & F.col("start").isNotNull())
-        .groupBy("key", "start").agg(F.max(F.coalesce("end", "start")).alias("end"), F.sum("n").alias("n"))
-        .withColumn("b", F.floor(F.col("start") / bucket))
+        .select("key", "start", F.coalesce("end", "start").alias("end"), "n", F.floor(F.col("start") / bucket).alias("b"))
+        .repartition("key", "b")
+        .withColumn("opens", opens)
+        .withColumn("first", F.max("opens").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+        .groupBy("key", "b", "first").agg(F.max("end").alias("end"), F.sum("n").alias("n"))
     )
-    inside = W.partitionBy("key", "b").orderBy("start")
+    # One row a bucket: how far earlier buckets reach, and the last interval of the bucket unless they reach it.
     earlier = W.partitionBy("key").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    ends = one.groupBy("key", "b").agg(F.max("end").alias("m")).select("key", "b", F.max("m").over(earlier).alias("carried"))
-    reach = F.greatest(F.max("end").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.col("carried"))
-    parted = one.join(ends, ["key", "b"]).withColumn("opens", F.when(reach.isNull() | (F.col("start") > reach + gap), F.col("start")))
-    opened = parted.groupBy("key", "b").agg(F.max("opens").alias("m")).select("key", "b", F.max("m").over(earlier).alias("open"))
-    local = F.max("opens").over(inside.rowsBetween(W.unboundedPreceding, 0))
-    return (
-        parted.join(opened, ["key", "b"])
-        .withColumn("first", F.coalesce(local, F.col("open")))
-        .groupBy("key", F.col("first").alias("start")).agg(F.max("end").alias("end"), F.sum("n").alias("n"))
-    )
+    links = local.groupBy("key", "b").agg(F.max("end").alias("m"), F.max("first").alias("last")).withColumn("carried", F.max("m").over(earlier))
+    links = links.withColumn("opened", F.when(F.col("carried").isNull() | (F.col("last") > F.col("carried") + gap), F.col("last")))
+    links = links.select("key", "b", "carried", F.max("opened").over(earlier).alias("open"))
+    start = F.when(F.col("first") <= F.col("carried") + gap, F.col("open")).otherwise(F.col("first"))
+    return local.join(links, ["key", "b"]).groupBy("key", start.alias("start")).agg(F.max("end").alias("end"), F.sum("n").alias("n"))
 
 
 class SessionTable:
@@ -50,8 +52,10 @@ class SessionTable:
 
     Sessions lie in folders by the period of their start. A merge compares the batch's sessions with the stored ones of
     the periods within the gap, writes these periods anew, and publishes a new manifest under the next number, which the
-    file system lets only one writer create: readers see the table before or after, never between. Events are known by
-    key, time and id; one that was merged before counts once, in whichever batch it comes again.
+    file system lets only one writer create: readers see the table before or after, never between. Every folder written
+    has a name of its own and counts only once a manifest names it, so that a merge that died, at whatever step, is
+    simply run again; `vacuum` deletes what it left. Events are known by key, time and id; one that was merged before
+    counts once, in whichever batch it comes again.
     """
 
     def __init__(self, spark: SparkSession, path: str, gap: int, period: int = PERIOD):
@@ -95,10 +99,10 @@ class SessionTable:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _write(self, df: DataFrame, time: str, name: str) -> dict[str, str]:
-        """Write df by period; the folder of each period. A period is spread over 16 tasks at most, AQE joins small ones."""
-        folder = f"{name}"
-        cut = df.withColumn("period", self._period(F.col(time)))
-        cut.repartition("period", F.pmod(F.xxhash64("key", time), F.lit(16))).write.partitionBy("period").parquet(f"{self.path}/{folder}")
+        """Write df by period into a new folder; the folder of each period. Rows are shuffled by period, and adaptive
+        execution splits large periods and joins small ones by their size."""
+        folder = f"{name}-{uuid.uuid4().hex}"
+        df.withColumn("period", self._period(F.col(time))).hint("rebalance", "period").write.partitionBy("period").parquet(f"{self.path}/{folder}")
         jvm, fs = self._fs()
         found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}/period=*")) or []
         return {(x := s.getPath().getName()).split("=")[1]: f"{folder}/{x}" for s in found}
@@ -110,23 +114,24 @@ class SessionTable:
         """
         state = self.manifest()
         version = state["version"] + 1
+        schema = "key string, time long, id string"
         batch = events.select(F.col("key").cast("string").alias("key"), F.col("time").cast("long").alias("time"), F.col("id").cast("string").alias("id"))
-        batch = batch.where("key is not null and time is not null").distinct()
-        touched = {str(r[0]) for r in batch.select(self._period(F.col("time"))).distinct().collect()}
-        seen = [f"{self.path}/{p}" for k in sorted(touched) for p in state["events"].get(k, [])]
+        new_events = self._write(batch.where("key is not null and time is not null").distinct(), "time", f"events-{version:08d}")
+        batch = self._load([f"{self.path}/{p}" for p in new_events.values()], schema)
+        seen = [f"{self.path}/{p}" for k in sorted(new_events) for p in state["events"].get(k, [])]
         if seen:
-            known = self._load(seen, "key string, time long, id string").alias("k")
             same = F.expr("b.key = k.key and b.time = k.time and b.id <=> k.id")
-            batch = batch.alias("b").join(known, same, "left_anti")
-        new_events = self._write(batch, "time", f"events-{version:08d}")
-        batch = self._load([f"{self.path}/{p}" for p in new_events.values()], "key string, time long, id string")
+            batch = batch.alias("b").join(self._load(seen, schema).alias("k"), same, "left_anti")
+        scratch = Scratch(self.spark)
         local = merge_intervals(batch.select("key", F.col("time").alias("start"), F.col("time").alias("end"), F.lit(1).cast("long").alias("n")), self.gap)
-        local = materialize(local, "local-sessions")
+        local = scratch.write(local, "local-sessions")
         near = [p for p in state["sessions"] if any(self._within(int(p), state["ends"][p], int(q)) for q in new_events)]
-        merged = merge_intervals(local.unionByName(self.read(state, near)), self.gap)
+        # Sessions of a batch lie more than a gap apart: without stored ones in reach they stand as they are.
+        merged = merge_intervals(local.unionByName(self.read(state, near)), self.gap) if near else local
         new = self._write(merged, "start", f"sessions-{version:08d}")
-        written = self.spark.read.parquet(f"{self.path}/sessions-{version:08d}") if new else None
-        ends = {str(r[0]): r[1] for r in written.groupBy("period").agg(F.max("end")).collect()} if new else {}
+        scratch.keep()
+        written = self._load([f"{self.path}/{p}" for p in new.values()], "key string, start long, end long, n long")
+        ends = {str(r[0]): r[1] for r in written.groupBy(self._period(F.col("start"))).agg(F.max("end")).collect()} if new else {}
         kept = [p for p in state["sessions"] if p not in near]
         self._publish({
             "version": version,
@@ -137,6 +142,18 @@ class SessionTable:
         })
         return version
 
+    def vacuum(self) -> int:
+        """Delete the folders that the newest manifest doesn't name, and return how many: those of merges that died and
+        those of older versions. Call it while nobody merges or reads an older version."""
+        state = self.manifest()
+        named = {f.split("/")[0] for f in [*state["sessions"].values(), *(f for fs in state["events"].values() for f in fs)]}
+        jvm, fs = self._fs()
+        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/*-*-*")) or []
+        dead = [s.getPath() for s in found if s.isDirectory() and s.getPath().getName() not in named]
+        for p in dead:
+            fs.delete(p, True)
+        return len(dead)
+
     def _within(self, stored: int, end: int, batch: int) -> bool:
         """Whether sessions of a stored period, the last of which ends at `end`, can touch events of a batch's period."""
         return stored * self.period <= (batch + 1) * self.period + self.gap and end >= batch * self.period - self.gap
@@ -148,12 +165,16 @@ def sessions_by_batches(events: DataFrame, arrival: str, gap: int, batches: int
     Events without an arrival come with the first batch.
     """
     spark = events.sparkSession
-    events = materialize(events, "session-events")  # read once by each batch and each of its steps
     out = SessionTable(spark, path or scratch_path(spark, "sessions"), gap)
     at = F.unix_micros(F.col(arrival).cast("timestamp"))
     lo, hi = events.agg(F.min(at), F.max(at)).first()
     step = ((hi or 0) - (lo or 0)) // batches + 1
-    part = F.coalesce(F.floor((at - (lo or 0)) / step), F.lit(0))
+    part = F.coalesce(F.floor((at - (lo or 0)) / step), F.lit(0)).cast("int")
+    # Cut once, when they are written: each batch reads its own folder.
+    folder = scratch_path(spark, "session-events")
+    events.select("key", "time", "id", part.alias("batch")).write.partitionBy("batch").parquet(folder)
+    cut = spark.read.schema(events.select("key", "time", "id", part.alias("batch")).schema).parquet(folder)
     for k in range(batches):
-        out.merge(events.where(part == k))
+        out.merge(cut.where(F.col("batch") == k).drop("batch"))
+    drop_path(spark, folder)
     return out

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR: dict[str, str] = {}
+#: Applications whose scratch folder is deleted when the driver's Python ends.
+_SWEPT: set[str] = set()
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -40,15 +43,49 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder, which is deleted when the driver ends."""
+    app = spark.sparkContext.applicationId
+    root = f"{shared_dir(spark)}/skylode-{app}"
+    if app not in _SWEPT:
+        _SWEPT.add(app)
+        atexit.register(_sweep, spark, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def _sweep(spark: SparkSession, root: str) -> None:
+    try:
+        drop_path(spark, root)
+    except Exception:  # noqa: BLE001  the session was stopped before: the folder is left to whoever clears the shared one
+        pass
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).write(df, name)
+
+
+class Scratch:
+    """Tables of one computation in the shared folder, dropped as soon as later ones have taken their place."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table, read back."""
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path))
+        return out
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Drop every table but these, which nothing later may read any more."""
+        kept = [(t, p) for t, p in self.tables if any(t is k for k in tables)]
+        for t, p in self.tables:
+            if not any(t is k for k in tables):
+                drop_path(self.spark, p)
+        self.tables = kept
 
 
 def write_file(spark: SparkSession, path: str, content: bytes) -> None:
