@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from skylode.operators import islands, robust
+from skylode.operators.candidates import descending_bin
+from skylode.session import materialize
 from skylode.sources.tables import table
 
 #: Fixed values of the search: distance and width of windows, in channels.
@@ -15,7 +16,8 @@ KEYS = ["cadence", "method"]
 
 
 def _latest(spark: SparkSession, folder: str) -> DataFrame:
-    return robust.latest_scores(table(spark, folder, "window_scores"))
+    """Written once: the largest table is read and shuffled once, whatever a query then does with it."""
+    return materialize(robust.latest_scores(table(spark, folder, "window_scores")), "latest-scores")
 
 
 def _rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,7 +29,7 @@ def r6(*names: str) -> dict:
 
 
 def scores_latest(spark: SparkSession, folder: str) -> DataFrame:
-    return _latest(spark, folder)
+    return robust.latest_scores(table(spark, folder, "window_scores"))
 
 
 def robust_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,35 +49,41 @@ def sigma_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return counts.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(str(i)).alias("n_beyond")) for i, k in enumerate(ks)])).alias("s")).select(*KEYS, "s.k", "s.n_beyond")
 
 
+def _pooled(scores: DataFrame, qs: dict[str, float]) -> DataFrame:
+    """method, n, median, mad_sigma and quantiles over all cadences: groups that have no bound."""
+    med = robust.exact_quantiles(scores, ["method"], "score", {"median": 0.5} | qs)
+    dev = scores.join(med, "method").select("method", F.abs(F.col("score") - F.col("median")).alias("d"))
+    return med.join(robust.exact_quantiles(dev, ["method"], "d", {"mad": 0.5}).select("method", (F.col("mad") * robust.MAD_SIGMA).alias("mad_sigma")), "method")
+
+
 def score_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """Each method over all cadences: quantiles of groups that have no bound."""
+    """Each method over all cadences."""
     scores = _latest(spark, folder).select("method", "score")
-    med = robust.exact_quantiles(scores, ["method"], "score", {"median": 0.5, "p99": 0.99})
-    dev = scores.join(med, "method").select("method", F.abs(F.col("score") - F.col("median")).alias("d"))
-    mad = robust.exact_quantiles(dev, ["method"], "d", {"mad": 0.5}).select("method", (F.col("mad") * robust.MAD_SIGMA).alias("mad_sigma"))
-    limits = med.join(mad, "method")
     beyond = [F.round(100 * F.avg((F.col("score") > F.col("median") + k * F.col("mad_sigma")).cast("double")), 6).alias(f"pct_{k}sigma") for k in (3, 5)]
     return (
-        scores.join(limits, "method").groupBy("method", "n", "median", "p99", "mad_sigma")
+        scores.join(_pooled(scores, {"p99": 0.99}), "method").groupBy("method", "n", "median", "p99", "mad_sigma")
         .agg(F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 4).alias("std"), F.min("score").alias("lowest"), F.max("score").alias("highest"), *beyond)
         .withColumns(r6("median", "p99", "mad_sigma"))
     )
 
 
+def _above(scores: DataFrame, rules: DataFrame) -> DataFrame:
+    far = robust.thresholds(scores, rules).select(*KEYS, "far_thresh")
+    return scores.join(far, KEYS).where("score > far_thresh").select(*KEYS, "f_start", "score")
+
+
 def above_far(spark: SparkSession, folder: str) -> DataFrame:
     """The windows above their cadence's FAR threshold, strictly."""
-    scores = _latest(spark, folder)
-    far = robust.thresholds(scores, _rules(spark, folder)).select(*KEYS, "far_thresh")
-    return scores.join(far, KEYS).where("score > far_thresh").select(*KEYS, "f_start", "score")
+    return _above(_latest(spark, folder), _rules(spark, folder))
 
 
 def clusters(spark: SparkSession, folder: str) -> DataFrame:
-    return islands.summarize_clusters(above_far(spark, folder), KEYS, STRIDE, FCHANS).withColumns(r6("mean_score"))
+    return islands.summarize_clusters(materialize(above_far(spark, folder), "above-far"), KEYS, STRIDE, FCHANS).withColumns(r6("mean_score"))
 
 
 def cluster_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The number of clusters only: runs of windows above the threshold."""
-    runs = islands.island_starts(above_far(spark, folder), KEYS, "f_start", STRIDE, 1 << 20)
+    runs = islands.island_starts(materialize(above_far(spark, folder), "above-far"), KEYS, "f_start", STRIDE, 1 << 20)
     return runs.groupBy(*KEYS).agg(F.count_distinct("island").alias("n_clusters"), F.count("*").alias("n_windows"))
 
 
@@ -85,49 +93,46 @@ def candidate_volume(spark: SparkSession, folder: str) -> DataFrame:
     recorded = table(spark, folder, "method_results").groupBy(*KEYS).agg(F.max("off_ceiling").alias("off_ceiling"))
     cut = robust.thresholds(scores, _rules(spark, folder)).select(*KEYS, "far_thresh").join(recorded, KEYS, "left")
     cut = cut.withColumn("low", F.least("far_thresh", F.when(F.isnan("off_ceiling"), None).otherwise(F.col("off_ceiling"))))
-    over = scores.join(cut, KEYS).where("score > low")
+    cut = materialize(cut, "cuts")
+    over = materialize(scores.join(cut, KEYS).where("score > low"), "above-low")
     count = lambda rows, name: islands.island_starts(rows.select(*KEYS, "f_start"), KEYS, "f_start", STRIDE, 1 << 20).groupBy(*KEYS).agg(F.count_distinct("island").alias(name))
     return cut.select(*KEYS).join(count(over.where("score > far_thresh"), "n_far"), KEYS, "left").join(count(over, "n_min"), KEYS, "left").fillna(0, ["n_far", "n_min"])
 
 
 def cfar_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """Windows that stand out by (score - local median) / local sigma > cfar_k, for methods with such a rule."""
+    """Windows that stand out by (score - local median) / local sigma > cfar_k, for methods with such a rule; none without one."""
     rules = _rules(spark, folder).where("cfar_half > 0").select("method", "cfar_half", "cfar_k")
     scores = _latest(spark, folder)
-    parts = [
-        robust.local_stats(scores.where(F.col("method") == r["method"]), KEYS, "f_start", "score", r["cfar_half"])
-        .where((F.col("score") - F.col("local_median")) / F.col("local_sigma") > r["cfar_k"])
-        for r in rules.collect()
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = scores.limit(0).withColumns({"local_median": F.lit(0.0), "local_sigma": F.lit(0.0)})
+    # One pass for each width of neighbourhood, of which there are no more than rules.
+    for (half,) in rules.select("cfar_half").distinct().orderBy("cfar_half").collect():
+        some = rules.where(F.col("cfar_half") == half).select("method", "cfar_k")
+        local = robust.local_stats(scores.join(some.select("method"), "method", "left_semi"), KEYS, "f_start", "score", half).join(some, "method")
+        out = out.unionByName(local.where((F.col("score") - F.col("local_median")) / F.col("local_sigma") > F.col("cfar_k")).drop("cfar_k"))
     return out.select(*KEYS, "f_start", "score", F.round("local_median", 6).alias("local_median"), F.round("local_sigma", 6).alias("local_sigma"))
 
 
 def quiet_windows(spark: SparkSession, folder: str) -> DataFrame:
     """How many windows are at most the median of their cadence and method, and their sum."""
     scores = _latest(spark, folder)
-    med = F.percentile("score", F.lit(0.5)).over(W.partitionBy(*KEYS))
-    return scores.withColumn("m", med).where("score <= m").groupBy(*KEYS).agg(F.count("*").alias("n_quiet"), F.round(F.sum("score"), 4).alias("sum_quiet"))
+    med = robust.robust_stats(scores, KEYS).select(*KEYS, "median")
+    return scores.join(med, KEYS).where("score <= median").groupBy(*KEYS).agg(F.count("*").alias("n_quiet"), F.round(F.sum("score"), 4).alias("sum_quiet"))
 
 
 def peak_background_rank(spark: SparkSession, folder: str) -> DataFrame:
     """For each latest cluster, the share of its cadence's windows with a score below its peak.
 
-    Peaks and scores of a cadence and method are merged in one order, so that no pair is formed.
+    Peaks and scores of a cadence and method are merged in one order, so that no pair is formed, and counted by bins of it.
     """
     scores = _latest(spark, folder)
     peaks = (
         table(spark, folder, "method_clusters").where("peak_score IS NOT NULL AND NOT isnan(peak_score) AND cadence IS NOT NULL")
-        .groupBy(*KEYS, "f_start_peak").agg(F.max("peak_score").alias("score")).withColumn("isp", F.lit(1))
+        .groupBy(*KEYS, "f_start_peak").agg(F.max("peak_score").alias("score")).withColumn("w", F.lit(0).cast("long"))
     )
-    both = scores.select(*KEYS, F.lit(None).cast("long").alias("f_start_peak"), "score", F.lit(0).alias("isp")).unionByName(peaks)
-    below = W.partitionBy(*KEYS).orderBy("score").rangeBetween(W.unboundedPreceding, W.currentRow)
-    equal = W.partitionBy(*KEYS, "score")
-    n = F.sum(1 - F.col("isp"))
-    ranked = both.withColumn("below", n.over(below) - n.over(equal)).withColumn("n", n.over(W.partitionBy(*KEYS)))
-    return ranked.where("isp = 1 AND n > 0").select(*KEYS, "f_start_peak", F.round(F.col("below") / F.col("n"), 6).alias("pct_below"))
+    both = scores.select(*KEYS, F.lit(None).cast("long").alias("f_start_peak"), "score", F.lit(1).cast("long").alias("w")).unionByName(peaks)
+    ranked = islands.running_total(both, KEYS, [F.desc("score")], descending_bin(F.col("score")), "w", "upto").where("w = 0")
+    n = scores.groupBy(*KEYS).agg(F.count("*").alias("n"))
+    return ranked.join(n, KEYS).select(*KEYS, "f_start_peak", F.round((F.col("n") - F.col("upto")) / F.col("n"), 6).alias("pct_below"))
 
 
 def threshold_regime(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,11 +147,9 @@ def threshold_regime(spark: SparkSession, folder: str) -> DataFrame:
 def false_positives(spark: SparkSession, folder: str) -> DataFrame:
     """Windows beyond their own cadence's five sigma and beyond five sigma of all cadences of the method."""
     scores = _latest(spark, folder)
-    local = robust.robust_stats(scores, KEYS).select(*KEYS, (F.col("median") + 5 * F.col("mad_sigma")).alias("own"))
-    med = robust.exact_quantiles(scores, ["method"], "score", {"m": 0.5}).select("method", "m")
-    dev = scores.join(med, "method").select("method", F.abs(F.col("score") - F.col("m")).alias("d"))
-    pooled = med.join(robust.exact_quantiles(dev, ["method"], "d", {"s": 0.5}), "method").select("method", (F.col("m") + 5 * robust.MAD_SIGMA * F.col("s")).alias("pooled"))
-    rows = scores.join(local, KEYS).join(pooled, "method")
+    five = F.col("median") + 5 * F.col("mad_sigma")
+    local = robust.robust_stats(scores, KEYS).select(*KEYS, five.alias("own"))
+    rows = scores.join(local, KEYS).join(_pooled(scores, {}).select("method", five.alias("pooled")), "method")
     return rows.groupBy(*KEYS).agg(F.count_if(F.col("score") > F.col("own")).alias("n_own"), F.count_if(F.col("score") > F.col("pooled")).alias("n_pooled"), F.count("*").alias("n"))
 
 
