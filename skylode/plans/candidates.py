@@ -261,3 +261,13 @@ QUERIES = {
     for f in (clusters_latest, short_list_order, counterfactual_rank, session_veto, session_veto_targets, region_association, region_merges, region_windows, verdict_audit, survival_cascade, review_budget,
               rank_percentiles, score_quality, rate_at_false_positives, effect_sizes, listed_rates, listed_by_contrast, factorial_rates, detection_floor, map_coverage, threshold_audit, describe_by_role, injection_catalog)
 }
+# The queries as they are: every method, every contrast. The SQL under their older names states one method, contrasts up to 20.
+SQL |= {
+    "merges_by_method": _R + """SELECT region, cadence, method, p AS f_start_peak, EXISTS (SELECT 1 FROM lc b WHERE b.method = 'ae_recon' AND b.cadence = bs.cadence AND b.f_start_first < bs.z AND b.f_start_last + 1024 > bs.a) AS merged
+      FROM bs WHERE rn = 1""",
+    "windows_by_method": _W + """SELECT cluster_id AS region, ws.method, count(*) AS n_windows, max(score) AS max_window_score FROM lc JOIN ws ON ws.cadence = lc.cadence AND f_start < f_start_last + 1024 AND f_start + 1024 > f_start_first
+      WHERE lc.method = 'udma_topk' GROUP BY 1, 2""",
+    "contrast_floor": _L + """, r AS (SELECT method, CAST(floor(on_off_contrast) AS BIGINT) AS level, avg(in_short_list::INT) AS rate FROM lc WHERE on_off_contrast >= 0 AND isfinite(on_off_contrast) GROUP BY 1, 2)
+      SELECT method, min(level) FILTER (rate >= 0.5) AS level FROM r GROUP BY 1""",
+}
+QUERIES |= {"merges_by_method": region_merges, "windows_by_method": region_windows, "contrast_floor": detection_floor}

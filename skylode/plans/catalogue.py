@@ -366,3 +366,12 @@ SQL = {
       w AS (SELECT cadence, fch1_mhz + foff_hz / 1e6 * f_start AS a, fch1_mhz + foff_hz / 1e6 * (f_start + 1024) AS b FROM (SELECT DISTINCT cadence, f_start FROM window_scores) JOIN m USING (cadence))
       SELECT cadence, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM (VALUES (1200.0, 1341.2), (2300.0, 2360.0), (4060.0, 4064.0), (5524.5, 5525.5)) e(lo, hi) WHERE greatest(a, b) > lo AND least(a, b) < hi)) AS n_excluded FROM w GROUP BY cadence""",
 }
+# header_mismatches as the query states it: every joined row, compared as far as it can be read. Its older SQL leaves rows out.
+SQL["header_checks"] = r"""WITH r AS (SELECT lower(regexp_replace(regexp_replace(file, '.*/', ''), '([.]rawspec)?[.](000[012])[.]h5$', '')) AS k, arg_min(struct_pack(a := f_start_mhz, z := f_stop_mhz, t := tstart_mjd), header_id) AS r
+    FROM scan_headers WHERE product = '0000' AND parse_error IS NULL GROUP BY 1),
+  h AS (SELECT k, CASE WHEN isfinite(r.a) THEN r.a END AS a, CASE WHEN isfinite(r.z) THEN r.z END AS z, CASE WHEN isfinite(r.t) THEN r.t END AS t FROM r),
+  q AS (SELECT row_id, lower(regexp_replace(file, '([.]rawspec)?[.](000[012])[.]h5$', '')) AS k, try_cast(replace(trim(f_start_mhz, ' 	'), ',', '.') AS DOUBLE) AS a, try_cast(replace(trim(f_stop_mhz, ' 	'), ',', '.') AS DOUBLE) AS z,
+    try_cast(replace(regexp_extract(trim(tstart_mjd, ' 	'), '^[+-]?([0-9]+[.,]?[0-9]*([eE][+-]?[0-9]+)?)$', 1), ',', '.') AS DOUBLE) AS v FROM association_rows),
+  n AS (SELECT row_id, k, CASE WHEN isfinite(a) THEN a END AS a, CASE WHEN isfinite(z) THEN z END AS z, CASE WHEN v > 2000000 THEN v - 2400000.5 WHEN isfinite(v) THEN v END AS t FROM q)
+  SELECT row_id, coalesce(abs(n.a - h.a) > 0.01 OR abs(n.z - h.z) > 0.01, FALSE) AS band_vs_0000, coalesce(abs(n.t - h.t) * 86400 > 1.0, FALSE) AS tstart_vs_0000 FROM n JOIN h USING (k)"""
+QUERIES["header_checks"] = header_mismatches

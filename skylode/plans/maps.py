@@ -78,6 +78,13 @@ def verdict_hit_reference(spark: SparkSession, folder: str) -> DataFrame:
     return _decided(spark, folder, "weakest_hit_on", 1.0).withColumn("off_ceiling", F.round("off_ceiling", 6)).select(*_VERDICT)
 
 
+def review_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Every map of a cadence in the order of review: the short list before the rest, each by contrast."""
+    order = W.partitionBy("cadence").orderBy(F.desc("in_short_list"), F.desc("on_off_contrast"), "map_id")  # PER_CADENCE maps
+    ranked = _decided(spark, folder, "weakest_on", None).withColumn("rank", F.row_number().over(order).cast("long"))
+    return ranked.select("cadence", "map_id", "rank", "in_short_list", F.round("on_off_contrast", 6).alias("on_off_contrast"), "n_on_hits_full", "n_off_hits_full")
+
+
 def review_list(spark: SparkSession, folder: str) -> DataFrame:
     """The candidates that reach the reviewer, in order: the short list of each cadence by contrast."""
     short = _decided(spark, folder, "weakest_on", None).where("in_short_list")
@@ -267,8 +274,26 @@ f1 AS (SELECT map_id, cadence, any_value(off_ceiling) AS off_ceiling, count(*) F
 """
 
 
-def _decide(ref: str, frac: float, single: str) -> str:
-    return _D + f""", f2 AS (SELECT map_id, count(*) FILTER (r % 2 = 1 AND m > off_ceiling AND m >= {frac} * {ref}) AS n_off_hits_full,
+#: The same at the sigma-clipped, floored ceiling of A-05 and A-06: five rounds, each a median, a sigma, a test, what is kept.
+_CLIPPED = (
+    _S
+    + ", k0 AS (SELECT cadence, v, TRUE AS kept, FALSE AS still FROM cells WHERE r % 2 = 1)"
+    + "".join(
+        f""", m{i} AS (SELECT *, median(CASE WHEN kept THEN v END) OVER (PARTITION BY cadence) AS m FROM k{i - 1}),
+        s{i} AS (SELECT *, median(CASE WHEN kept THEN abs(v - m) END) OVER (PARTITION BY cadence) * 1.4826 AS s FROM m{i}),
+        x{i} AS (SELECT *, CASE WHEN still OR s = 0 THEN kept ELSE v <= m + 3 * s END AS nx FROM s{i}),
+        k{i} AS (SELECT cadence, v, nx AS kept, still OR s = 0 OR sum(nx::INT) OVER (PARTITION BY cadence) = sum(kept::INT) OVER (PARTITION BY cadence) AS still FROM x{i})"""
+        for i in range(1, 6)
+    )
+    + """, oc AS (SELECT cadence, count(*) AS n, quantile_cont(v, 0.999) FILTER (kept) AS ceiling FROM k5 GROUP BY 1),
+      om AS (SELECT cadence, topk, median(topk) OVER (PARTITION BY cadence) AS m FROM top), five AS (SELECT cadence, any_value(m) + 5 * median(abs(topk - m)) * 1.4826 AS t FROM om GROUP BY 1),
+      thr AS (SELECT cadence, CASE WHEN n >= 200 THEN greatest(ceiling, t) ELSE t END AS off_ceiling FROM oc JOIN five USING (cadence))"""
+)
+_AT_CEILING = _CLIPPED + _D[_D.index(",\ncolm AS") :]
+
+
+def _decide(ref: str, frac: float, single: str, start: str = _D) -> str:
+    return start + f""", f2 AS (SELECT map_id, count(*) FILTER (r % 2 = 1 AND m > off_ceiling AND m >= {frac} * {ref}) AS n_off_hits_full,
         {single} AS off_single_leak FROM ful JOIN f1 USING (map_id) GROUP BY 1),
       dec AS (SELECT cadence, map_id, off_ceiling, CAST(n_on_hits AS INT) AS n_on_hits, CAST(n_off_hits AS INT) AS n_off_hits, CAST(n_on_hits_full AS INT) AS n_on_hits_full,
         CAST(n_off_hits_full AS INT) AS n_off_hits_full, off_single_leak, n_off_hits_full >= 2 OR off_single_leak AS off_leak,
@@ -276,6 +301,8 @@ def _decide(ref: str, frac: float, single: str) -> str:
       FROM f1 JOIN f2 USING (map_id) JOIN n1 USING (map_id))"""
 
 
+_SINGLE = "coalesce(bool_or(r % 2 = 1 AND m > off_ceiling AND m >= w_hit), FALSE)"
+_COLUMNS = "cadence, map_id, round(off_ceiling, 6) AS off_ceiling, n_on_hits, n_off_hits, n_on_hits_full, n_off_hits_full, off_single_leak, off_leak, in_short_list"
 SQL = {
     "injection_recovery": _decide("w_on", 0.3, "FALSE") + """, b AS (SELECT map_id, off_ceiling FROM dec WHERE NOT in_short_list), sg AS (SELECT map_id, sqrt(avg(v * v) - avg(v) * avg(v)) AS sg FROM cells GROUP BY 1),
       g AS (SELECT map_id, off_ceiling, sg, p.pattern, p.a, p.b, p.d, snr FROM b JOIN sg USING (map_id),
@@ -348,8 +375,18 @@ SQL = {
       c AS (SELECT a.i, b.i AS j, covar_pop(a.x, b.x) AS c FROM x a JOIN x b USING (vec_id) GROUP BY ALL)
       SELECT round(power(sum(c) FILTER (i = j), 2) / sum(c * c), 4) AS participation, count(*) FILTER (i = j AND c < 1e-12) AS dead FROM c""",
 }
+# Held against the rule that the queries follow; the SQL under their older names states a raw 0.99 quantile as the ceiling.
+SQL |= {
+    "ceiling_verdicts": _decide("w_on", 0.3, "FALSE", _AT_CEILING) + f"SELECT {_COLUMNS}, round(con, 6) AS on_off_contrast, round(on_mean, 6) AS on_mean, round(off_mean, 6) AS off_mean FROM dec",
+    "ceiling_verdicts_hit_reference": _decide("w_hit", 0.3, _SINGLE, _AT_CEILING) + f"SELECT {_COLUMNS} FROM dec",
+    "review_order": _decide("w_on", 0.3, "FALSE", _AT_CEILING)
+    + """SELECT cadence, map_id, row_number() OVER (PARTITION BY cadence ORDER BY in_short_list DESC, con DESC, map_id) AS rank, in_short_list, round(con, 6) AS on_off_contrast,
+      n_on_hits_full, n_off_hits_full FROM dec""",
+    "ceiling_recovery": _decide("w_on", 0.3, "FALSE", _AT_CEILING) + SQL["injection_recovery"][SQL["injection_recovery"].index(", b AS (SELECT map_id, off_ceiling") :],
+}
 QUERIES = {
     f.__name__: f
     for f in (map_scores, map_peaks, off_ceilings, verdict_production, verdict_hit_reference, review_list, pooled_cells, patches, fused_scores, frame_statistics, composition,
               hot_fraction_quartiles, on_off_rows, channel_normalization, core_transform, downsampled, striping, channel_flags, row_correlation, memory_addressing, reconstruction_losses, effective_rank, injection_recovery)
 }
+QUERIES |= {"ceiling_verdicts": verdict_production, "ceiling_verdicts_hit_reference": verdict_hit_reference, "review_order": review_order, "ceiling_recovery": injection_recovery}
