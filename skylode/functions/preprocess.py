@@ -8,22 +8,26 @@ import numpy as np
 def bandpass(power: np.ndarray, degree: int = 3, method: str = "polynomial", rounds: int = 3, clip: float = 3.0) -> np.ndarray:
     """power (time × channels) divided by its bandpass: the channels' temporal median, or a polynomial fitted to it.
 
-    The fit leaves out channels beyond `clip` standard deviations of the residuals of those used, `rounds` times, and
-    stops when nothing deviates or too few are left. A floor keeps the divisor positive.
+    The fit is made again `rounds` times, each time without the channels that lie beyond `clip` standard deviations of
+    the residuals of those used before, and stays as it is once nothing deviates or too few channels are left. A floor
+    keeps the divisor positive.
     """
     level = np.median(power.astype(float), axis=0)
     if method == "polynomial":
         x = np.linspace(-1.0, 1.0, len(level))
+
+        def fitted(used: np.ndarray) -> np.ndarray:
+            return np.polynomial.polynomial.polyval(x, np.polynomial.polynomial.polyfit(x[used], level[used], degree))
+
         used = np.ones(len(level), bool)
-        fit = level
+        fit = fitted(used)
         for _ in range(rounds):
-            fit = np.polynomial.polynomial.polyval(x, np.polynomial.polynomial.polyfit(x[used], level[used], degree))
             rest = level - fit
             sigma = rest[used].std()
-            near = np.abs(rest) <= clip * sigma
-            if sigma == 0 or near.sum() <= degree + 1:
+            used = np.abs(rest) <= clip * sigma
+            if sigma == 0 or used.sum() < degree + 1:
                 break
-            used = near
+            fit = fitted(used)
         level = fit
     elif method != "median":
         raise ValueError(f"unknown bandpass method {method!r}")

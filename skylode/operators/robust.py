@@ -216,8 +216,8 @@ def _narrowed_ceiling(rows: DataFrame, keys: list[str], q: float, rounds: int, k
     return exact_quantiles(kept, keys, "v", {"ceiling": q}).select(*keys, F.col("n").alias("n_kept"), "ceiling").join(state.select(*keys, "n"), keys)
 
 
-#: Rows of a group whose neighbourhoods one task call computes.
-BLOCK = 4096
+#: Rows of a block of neighbourhoods, and those of the blocks that one call computes.
+BLOCK, BATCH = 4096, 50_000
 
 
 def local_stats(scores: DataFrame, keys: list[str], order: str, value: str, half: int, bucket: int = 1 << 20, block: int = BLOCK) -> DataFrame:
@@ -234,6 +234,9 @@ def local_stats(scores: DataFrame, keys: list[str], order: str, value: str, half
     cut = numbered.join(ends, keys)
     first, last = F.greatest(F.lit(0), F.floor((F.col("_i") - near) / block)), F.least(F.floor((F.col("_n") - 1) / block), F.floor((F.col("_i") + near) / block))
     cut = cut.withColumn("_block", F.explode(F.sequence(first, last)))
+    # A task call takes several blocks, about BATCH rows.
+    batches = max(1, scores.count() // BATCH)
+    cut = cut.withColumn("_batch", F.pmod(F.xxhash64(*keys, "_block"), F.lit(batches)))
     schema = StructType([*scores.schema.fields, StructField("local_median", DoubleType()), StructField("local_sigma", DoubleType())])
     columns = scores.columns
 
@@ -242,7 +245,7 @@ def local_stats(scores: DataFrame, keys: list[str], order: str, value: str, half
         reach = np.clip(np.arange(at[0] - half, at[-1] + half + 1), 0, n - 1) - start
         return np.median(np.lib.stride_tricks.sliding_window_view(values[reach], 2 * half + 1), axis=1)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_i")
         b, n, start = int(rows["_block"].iloc[0]), int(rows["_n"].iloc[0]), int(rows["_i"].iloc[0])
         v = rows[value].to_numpy(float)
@@ -255,4 +258,7 @@ def local_stats(scores: DataFrame, keys: list[str], order: str, value: str, half
         out["local_sigma"] = medians(away, own, n, int(around[0])) * MAD_SIGMA + 1e-9
         return out
 
-    return cut.groupBy(*keys, "_block").applyInPandas(run, schema)
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([one(part) for _, part in rows.groupby([*keys, "_block"], dropna=False, sort=False)])
+
+    return cut.groupBy("_batch").applyInPandas(run, schema)
