@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skylode.operators.islands import overlap_join, running_total
+from skylode.operators.islands import distinct_overlaps, overlap_join, running_total
+from skylode.operators.sessions import merge_intervals
+from skylode.session import materialize
 
 KEYS = ["cadence", "method"]
 
@@ -51,13 +53,17 @@ def veto_counts(clusters: DataFrame, width: int, tolerance: int = 0, bin_width:
     """
     node, day = session_of(F.col("cadence"))
     target = F.array_join(F.slice(F.split("cadence", "_"), 4, 100), "_")
-    base = clusters.select("cadence", "method", "f_start_peak", "f_start_first", "f_start_last", node.alias("node"), day.alias("day"), target.alias("target"))
-    left = base.select("node", "day", "method", F.col("cadence").alias("c"), F.col("f_start_peak").alias("p"), F.col("target").alias("t"), (F.col("f_start_first") - tolerance).alias("lo"), (F.col("f_start_last") + width + tolerance).alias("hi"))
-    right = base.select("node", "day", "method", F.col("cadence").alias("c2"), F.col("target").alias("t2"), F.col("f_start_first").alias("start"), (F.col("f_start_last") + width).alias("end"))
-    pairs = overlap_join(left, right, ["node", "day", "method"], "lo", "hi", "start", "end", bin_width).where("c <> c2")
-    counted = pairs.where("t <> t2").select("method", "c", "p", "t2") if by_target else pairs.select("method", "c", "p", "c2")
-    n = counted.distinct().groupBy("method", F.col("c").alias("cadence"), F.col("p").alias("f_start_peak")).agg(F.count("*").alias("n_other"))
-    return clusters.join(n, ["cadence", "method", "f_start_peak"], "left").fillna(0, ["n_other"])
+    keys, of = ["node", "day", "method"], ["cadence", "f_start_peak"]
+    base = clusters.select(*of, "method", "f_start_first", (F.col("f_start_last") + width).alias("end"), node.alias("node"), day.alias("day"), (target if by_target else F.col("cadence")).alias("owner"))
+    base = materialize(base.where("node IS NOT NULL AND day IS NOT NULL AND f_start_first IS NOT NULL AND end IS NOT NULL"), "veto-clusters")
+    # What an owner covers, as spans that don't touch.
+    key = F.struct(*keys, "owner")
+    spans = merge_intervals(base.select(key.alias("key"), F.col("f_start_first").alias("start"), "end", F.lit(1).cast("long").alias("n")), 0, 1 << 20)
+    spans = materialize(spans.select("key.*", "start", "end"), "veto-spans")
+    queries = base.select(*keys, "cadence", "f_start_peak", (F.col("f_start_first") - tolerance).alias("lo"), (F.col("end") + tolerance).alias("hi"))
+    counted = distinct_overlaps(queries, spans, keys, of, bin_width)
+    # The cluster's own cadence, or target, is always among them.
+    return clusters.join(counted.select(*of, "method", (F.col("n_owners") - 1).alias("n_other")), [*of, "method"], "left").fillna(0, ["n_other"])
 
 
 def associate(regions: DataFrame, clusters: DataFrame, width: int, bin_width: int = 8192) -> DataFrame:

@@ -6,6 +6,8 @@ windows over one row per bucket.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -70,3 +72,68 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], lo: str, hi
     pairs = binned(left, lo, hi).join(binned(right, start, end), [*keys, "_bin"])
     once = F.col("_bin") == F.greatest(f"_first_{lo}", f"_first_{start}")
     return pairs.where(once & (F.col(start) < F.col(hi)) & (F.col(end) > F.col(lo))).drop("_bin", f"_first_{lo}", f"_first_{start}")
+
+
+def count_at_most(values: np.ndarray, first: np.ndarray, last: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """For each query, how many of values[first:last] are at most its limit, by blocks of doubling size, each sorted."""
+    n = len(values)
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(values, kind="stable")] = np.arange(n)
+    below = np.searchsorted(np.sort(values), limit, "right")  # values of a lesser rank than this are at most the limit
+    left, right, out = first.copy(), np.maximum(first, last), np.zeros(len(first), np.int64)
+    for level in range(int(n).bit_length() + 1):
+        blocks = np.sort((np.arange(n) >> level) * (n + 1) + rank)
+
+        def add(which: np.ndarray, block: np.ndarray, blocks: np.ndarray = blocks) -> None:
+            at = block[which] * (n + 1)
+            out[which] += np.searchsorted(blocks, at + below[which]) - np.searchsorted(blocks, at)
+
+        odd = np.flatnonzero((left < right) & (left & 1 == 1))
+        add(odd, left)
+        left[odd] += 1
+        odd = np.flatnonzero((left < right) & (right & 1 == 1))
+        right[odd] -= 1
+        add(odd, right)
+        left, right = left >> 1, right >> 1
+    return out
+
+
+def distinct_overlaps(queries: DataFrame, spans: DataFrame, keys: list[str], of: list[str], bin_width: int, batch: int = 50_000) -> DataFrame:
+    """keys, of, n_owners: for each query (keys, of, lo, hi) the number of owners with a span of equal keys that overlaps it.
+
+    spans: keys, owner, start, end, of one owner more than a touch apart. No pair of query and span is formed: an owner
+    overlaps a query if one of its spans covers lo, which running totals of starts and ends count, or else if one starts
+    inside the query whose predecessor ends at or before lo; these are counted by bins of the starts, in sorted order.
+    """
+    # Spans that cover lo.
+    moves = spans.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("p"), F.lit(1).alias("d")), F.struct(F.col("end").alias("p"), F.lit(-1).alias("d")))).alias("m"))
+    moves = moves.select(*keys, "m.p", "m.d", *[F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in of], F.lit(False).alias("asks"))
+    asked = queries.select(*keys, F.col("lo").alias("p"), F.lit(0).alias("d"), *of, F.lit(True).alias("asks"))
+    covering = running_total(moves.unionByName(asked), keys, [F.col("p")], F.floor(F.col("p") / bin_width), "d", "n").where("asks").select(*keys, *of, "n")
+    # Spans that start inside, by bin of the start.
+    before = F.lag("end").over(W.partitionBy(*keys, "owner").orderBy("start"))
+    starts = spans.select(*keys, F.col("start").alias("a"), F.coalesce(before, F.lit(-(1 << 62))).alias("z"), F.floor(F.col("start") / bin_width).alias("_bin"))
+    bins = F.sequence(F.floor((F.col("lo") + 1) / bin_width), F.floor((F.col("hi") - 1) / bin_width))
+    pieces = queries.where("hi > lo + 1").select(*keys, *of, "lo", "hi", F.explode(bins).alias("_bin"))
+    pieces = pieces.select(*keys, *of, "_bin", F.greatest(F.col("lo") + 1, F.col("_bin") * bin_width).alias("a"), F.least("hi", (F.col("_bin") + 1) * bin_width).alias("b"), F.col("lo").alias("z"), F.lit(True).alias("asks"))
+    both = starts.withColumn("asks", F.lit(False)).unionByName(pieces, allowMissingColumns=True)
+    batches = max(1, queries.count() // batch)
+    names = [*keys, *of]
+    types = [queries.schema[c].dataType.simpleString() for c in names]
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        group = rows.groupby([*keys, "_bin"], dropna=False, sort=False).ngroup().to_numpy(np.int64)
+        at = group * (bin_width + 1) - rows["_bin"].to_numpy(np.int64) * bin_width
+        asks = rows["asks"].to_numpy(bool)
+        place, ends = (at + rows["a"].to_numpy(np.int64))[~asks], rows["z"].to_numpy(np.int64)[~asks]
+        order = np.argsort(place, kind="stable")
+        wanted = rows[asks]
+        lo, hi = at[asks] + wanted["a"].to_numpy(np.int64), at[asks] + wanted["b"].to_numpy(np.int64)
+        first, last = np.searchsorted(place[order], lo), np.searchsorted(place[order], hi)
+        out = wanted[names].copy()
+        out["n"] = count_at_most(ends[order], first, last, wanted["z"].to_numpy(np.int64))
+        return out
+
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in zip(names, types, strict=True)), "n long"])
+    starting = both.withColumn("_batch", F.pmod(F.xxhash64(*keys, "_bin"), F.lit(batches))).groupBy("_batch").applyInPandas(count, schema)
+    return covering.unionByName(starting).groupBy(*names).agg(F.sum("n").alias("n_owners"))

@@ -61,7 +61,7 @@ def score_blocks(blocks: DataFrame, scorer: Scorer, methods: list[str], width: i
         starts = [f for f in range(-(-base // stride) * stride, base + tile, stride) if whole[f - base : f - base + width].all()]
         for k in range(0, len(starts), 64):
             some = starts[k : k + 64]
-            frames = np.stack([normalise(power[:, :, f - base : f - base + width], mode, degree) for f in some])
+            frames = np.stack([normalise(power[:, :, f - base : f - base + width].astype(float), mode, degree) for f in some])
             maps = scorer.anomaly_map(frames) if hasattr(scorer, "anomaly_map") else None
             for m in methods:
                 out.append(pd.DataFrame({"cadence": cadence, "f_start": some, "method": m, "score": reduce_maps(maps, m) if maps is not None else scorer.scores(frames, m)}))
