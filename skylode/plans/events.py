@@ -15,7 +15,7 @@ from skylode.streaming import sessions
 
 def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     schema = table(spark, folder, name).schema
-    return spark.readStream.schema(schema).parquet(f"{folder}/{name}*.parquet")
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}[.]parquet")  # a pattern that only this table's name matches
 
 
 def _run(stream: DataFrame) -> DataFrame:
