@@ -12,8 +12,8 @@ on whole sentences: each cue is a word or two beside the span.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
-from itertools import compress
+from collections.abc import Iterator, Sequence
+from itertools import compress, product
 from typing import NamedTuple
 from unicodedata import is_normalized, normalize
 
@@ -59,21 +59,23 @@ _FOLD = {c: "-" for c in map(ord, DASHES)} | {c: " " for c in map(ord, BLANK)} |
 _DROPPED = regex.compile(f"[{INVISIBLE}]+|(?<= ) +")
 
 
-def fold(text: str) -> tuple[str, np.ndarray]:
+def fold(text: str) -> tuple[str, Sequence[int]]:
     """The folded text and, for each of its characters, the place in text: where a letter and its marks are one character
     in it, the letter's."""
-    chars = text.translate(_FOLD)
+    chars = text if text.isascii() and "\t" not in text and "\r" not in text else text.translate(_FOLD)
+    composed = chars.isascii() or is_normalized("NFC", chars)
+    if composed and not _DROPPED.search(chars):
+        return chars, range(len(chars))
     keep = np.ones(len(chars), bool)
     for m in _DROPPED.finditer(chars):
         keep[m.start() : m.end()] = False
-    if not is_normalized("NFC", chars):
+    if not composed:
         out = list(chars)
         for m in regex.finditer(r"\p{L}\p{M}+", chars):
             if len(one := normalize("NFC", m[0])) == 1:
                 out[m.start()], keep[m.start() + 1 : m.end()] = one, False
         chars = "".join(out)
-    at = np.flatnonzero(keep)
-    return (chars if keep.all() else "".join(compress(chars, keep))), at
+    return "".join(compress(chars, keep)), np.flatnonzero(keep)
 
 
 def luhn(digits: str) -> bool:
@@ -107,14 +109,15 @@ EMAILS = [
 
 
 def _emails(text: str) -> Iterator[Span]:
-    if "@" not in text and not _AT(text):
-        return
-    for pattern, score in EMAILS:
-        for m in pattern.finditer(text):
+    low = text.lower()
+    # What a pattern's matches must hold; looking for a word is far cheaper than matching a pattern.
+    there = "@" in text, "at" in low and _BRACKETED(low), " dot " in low
+    for (pattern, score), some in zip(EMAILS, there, strict=True):
+        for m in pattern.finditer(text) if some else ():
             yield Span("email", m.start(), m.end(), score)
 
 
-_AT = regex.compile(r"(?i)at ?[\])}]| dot ").search
+_BRACKETED = regex.compile(r"[\[({] ?at ?[\])}]").search
 
 
 # -- phone -------------------------------------------------------------------------------------------------------------
@@ -144,7 +147,9 @@ PHONES = [
     # Digits without any sign between them.
     (regex.compile(rf"{_BEFORE}0?\d{{9,10}}(?![\d-])"), 0.3),
 ]
-_DIGITS = regex.compile(r"\d[ .-]?\d[ )./-]{0,3}\d").search
+#: Seven digits with no more than a few signs between them.
+_DIGITS = regex.compile(r"\d(?:[ ().+/-]{0,4}\d){6}").search
+_STRETCH = regex.compile(r"[+(]?\d[\d ().+/-]{5,}\d")
 _PHONE_WORDS = regex.compile(rf"(?i)(?:{PHONE_WORDS})")
 _NOT_PERSONAL = regex.compile(rf"(?i)(?:{NOT_PERSONAL})[ .:#]{{0,3}}$")
 #: A number that fills a line or a field of its own.
@@ -152,11 +157,11 @@ _ALONE = regex.compile(r"(?:^|[\n|;\t] ?)$"), regex.compile(r" ?(?:[\n|;\t]|$)")
 
 
 def _phones(text: str) -> Iterator[Span]:
-    if not _DIGITS(text):
-        return
-    for pattern, base in PHONES:
-        for m in pattern.finditer(text):
-            if not 7 <= sum(c.isdigit() for c in m[0]) <= 20:
+    # Only stretches of digits and signs are searched, with room for an extension behind them.
+    runs = [(r.start(), r.end()) for r in _STRETCH.finditer(text) if sum(c.isdigit() for c in r[0]) >= 7] if _DIGITS(text) else []
+    for (start, end), (pattern, base) in product(runs, PHONES):
+        for m in pattern.finditer(text, start, end + 16):
+            if m.start() >= end or not 7 <= sum(c.isdigit() for c in m[0]) <= 20:
                 continue
             score = base
             if _PHONE_WORDS.search(text[max(0, m.start() - 30) : m.start()]) or _PHONE_WORDS.search(text[m.end() : m.end() + 10]):
@@ -179,7 +184,8 @@ LABELLED = regex.compile(
 UNLABELLED = regex.compile(rf"(?=\d|[A-Z]{{1,2}}[\d -])(?<![\p{{L}}\d.+/-])(?P<v>{_VALUE})(?![\p{{L}}\d])")
 
 
-#: Looking for a word is far cheaper than matching a pattern.
+#: Five digits in a row but for a blank or a hyphen, or the head of an account number.
+_NUMBERS = regex.compile(r"\d(?:[ -]?\d){4}|[A-Z]{2}\d{2} ?[A-Z0-9]{4}").search
 _LABEL_WORDS = regex.sub(r"\\", "", ID_LABELS).split("|")
 
 
@@ -196,7 +202,7 @@ def _doubtful(value: str) -> bool:
 
 
 def _ids(text: str) -> Iterator[Span]:
-    if not _DIGITS(text):
+    if not _NUMBERS(text):
         return
     low = text.lower()
     for m in LABELLED.finditer(text) if any(w in low for w in _LABEL_WORDS) else ():
@@ -336,13 +342,18 @@ _RUN = regex.compile(rf"{_EDGE}(?:{_PARTICLE}+{_CAPITAL}|{_INITIAL}|{_CAPITAL})(
 #: A surname and, after a comma, given names.
 _TURNED = regex.compile(rf"{_EDGE}{_PARTS}, (?:{_CAPITAL}|{_INITIAL})(?: (?:{_INITIAL}|{_CAPITAL}))?{_END}")
 _TITLE_WORDS = rf"(?i:{TITLES})\.? "
-_FRENCH_TITLE = rf"(?i:{TITLES}|m)\.? "
+#: Each title in small letters, with a capital, in capitals.
+_ANY_TITLE = "|".join(dict.fromkeys(f(t) for t in TITLES.split("|") for f in (str, str.capitalize, str.upper)))
+_FRENCH_TITLE = rf"(?:{_ANY_TITLE}|[Mm])\.? "
 _TITLED = regex.compile(rf"{_EDGE}{_FRENCH_TITLE}(?P<name>{_ANY}(?: {_ANY}){{0,5}}+(?:, {_ANY}(?: {_ANY})?+)?+)")
-_MET = regex.compile(rf"(?:(?i:{_EDGE}(?:{INTRODUCED})) |(?i:(?:^|[\\n.!?:–•] ?)(?:{GREETED})) (?=\\p{{Lu}}))(?P<name>{_ANY}(?: {_ANY}){{0,5}}+(?:, {_ANY}(?: {_ANY})?+)?+)")
+#: A greeting begins a sentence.
+_GREETINGS = "|".join(g[0].upper() + g[1:] for g in GREETED.split("|"))
+_MET = regex.compile(rf"(?:(?i:{_EDGE}(?:{INTRODUCED})) |(?:^|[\\n.!?:–•] ?)(?:{_GREETINGS}) (?=\\p{{Lu}}))(?P<name>{_ANY}(?: {_ANY}){{0,5}}+(?:, {_ANY}(?: {_ANY})?+)?+)")
 _SIGNED = regex.compile(rf"(?i)(?:^|[\n.!?・] ?)(?:{CLOSINGS})[,!.]? ?\n+ ?(?:{_TITLE_WORDS})?(?P<name>{_ANY}(?: {_ANY}){{0,5}}+(?:, {_ANY}(?: {_ANY})?+)?+) ?(?=\n|$)")
 _HONOURED = regex.compile(r"(?<![\p{Han}\p{Katakana}ー])(?:[\p{Han}]{1,5}|[\p{Katakana}ー・]{2,15})(?=さん|様|氏(?![\p{Han}]))")
 _COMMA = regex.compile(r"\p{L}, \p{Lu}")
-_MET_WORDS = [w for w in regex.sub(r"\[.*?\]|\(.*?\)|.\?", "", f"{INTRODUCED}|{GREETED}").split("|")]
+_MET_WORDS = regex.sub(r"\[.*?\]|\(.*?\)|.\?", "", INTRODUCED).split("|")
+_GREETING_WORDS = [f"{g} " for g in regex.sub(r"\[.*?\]|\(.*?\)|.\?", "", _GREETINGS).split("|")]
 _NO_PERSON = regex.compile(r"お?客$|皆$|奥$|神$|何$|者$|人$|生$|屋$|員$")
 _STOP = regex.compile(rf"(?i)(?:{DEEDS}|{BEINGS}|{PLACED}|{NAMED}|{BODIES}|or|but|who|which|because|und|oder|et|ou|y|o|и|или)")
 _WORDS = regex.compile(rf"{_ANY}")
@@ -449,7 +460,7 @@ def _names(text: str) -> Iterator[Span]:
         if "," in text[start : m.end()]:
             found.setdefault((start, m.end()), set()).update({"title"} if titled else ())
     low = text.lower()
-    for pattern, cue, there in ((_TITLED, "title", True), (_MET, None, any(w in low for w in _MET_WORDS)), (_SIGNED, "greeted", "\n" in text)):
+    for pattern, cue, there in ((_TITLED, "title", True), (_MET, None, any(w in low for w in _MET_WORDS) or any(w[:-1] in text for w in _GREETING_WORDS)), (_SIGNED, "greeted", "\n" in text)):
         for m in pattern.finditer(text) if there else ():
             start, titled = _trimmed(text, m.start("name"), m.end("name"), cue == "title")
             if m[0][:2].lower() in ("m.", "m ") and not _is_french(text, m.start(), m.end()):
