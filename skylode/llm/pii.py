@@ -186,6 +186,8 @@ UNLABELLED = regex.compile(rf"(?=\d|[A-Z]{{1,2}}[\d -])(?<![\p{{L}}\d.+/-])(?P<v
 
 #: Five digits in a row but for a blank or a hyphen, or the head of an account number.
 _NUMBERS = regex.compile(r"\d(?:[ -]?\d){4}|[A-Z]{2}\d{2} ?[A-Z0-9]{4}").search
+#: What a number with check digits lies in.
+_ID_STRETCH = regex.compile(r"(?<![A-Z])[A-Z]{0,2}\d[\dA-Z -]{6,}")
 _LABEL_WORDS = regex.sub(r"\\", "", ID_LABELS).split("|")
 
 
@@ -207,7 +209,7 @@ def _ids(text: str) -> Iterator[Span]:
     low = text.lower()
     for m in LABELLED.finditer(text) if any(w in low for w in _LABEL_WORDS) else ():
         yield Span("id_number", m.start("v"), m.end("v"), 0.9 - 0.3 * _doubtful(m["v"]))
-    for m in UNLABELLED.finditer(text):
+    for m in (m for r in _ID_STRETCH.finditer(text) for m in UNLABELLED.finditer(text, r.start(), r.end() + 1)):
         bare = regex.sub("[ -]", "", m["v"])
         if (bare.isdigit() and luhn(bare)) or mod97(bare) or mod23(m["v"]):
             score = 0.7 - 0.6 * bool(_NOT_PERSONAL.search(text[max(0, m.start() - 14) : m.start()]))
@@ -298,9 +300,10 @@ NAMED = (
     "|según|pregunte por|con|por|conocí a|vi a|de parte de"
     "|по словам|спросите|спросил|встретила?"
 )
-INTRODUCED = "my name is|i am called|name is|ich heiße|ich heisse|mein name ist|je m'appelle|mon nom est|me llamo|mi nombre es|меня зовут|мо[её] имя|私は|名前は"
+INTRODUCED = "my name is|i am called|name is|ich heiße|ich heisse|mein name ist|je m'appelle|mon nom est|me llamo|mi nombre es|меня зовут|мое имя|моё имя|私は|名前は"
 GREETED = (
-    "dear|hello|hi|hey|good morning|lieber?|geehrte[rn]?|hallo|guten tag|chère?|bonjour|estimad[oa]|querid[oa]|hola|уважаем(?:ый|ая)|дорог(?:ой|ая)|здравствуйте"
+    "dear|hello|hi|hey|good morning|lieber|liebe|geehrter|geehrten|geehrte|hallo|guten tag|cher|chère|bonjour|estimado|estimada|querido|querida|hola"
+    "|уважаемый|уважаемая|дорогой|дорогая|здравствуйте"
 )
 CLOSINGS = (
     "kind regards|best regards|regards|best|best wishes|all the best|yours sincerely|yours truly|sincerely|cheers|thanks|thank you|yours|love|mit freundlichen grüßen|viele grüße|herzliche grüße|beste grüße|grüße"
@@ -352,8 +355,7 @@ _MET = regex.compile(rf"(?:(?i:{_EDGE}(?:{INTRODUCED})) |(?:^|[\\n.!?:–•] ?)
 _SIGNED = regex.compile(rf"(?i)(?:^|[\n.!?・] ?)(?:{CLOSINGS})[,!.]? ?\n+ ?(?:{_TITLE_WORDS})?(?P<name>{_ANY}(?: {_ANY}){{0,5}}+(?:, {_ANY}(?: {_ANY})?+)?+) ?(?=\n|$)")
 _HONOURED = regex.compile(r"(?<![\p{Han}\p{Katakana}ー])(?:[\p{Han}]{1,5}|[\p{Katakana}ー・]{2,15})(?=さん|様|氏(?![\p{Han}]))")
 _COMMA = regex.compile(r"\p{L}, \p{Lu}")
-_MET_WORDS = regex.sub(r"\[.*?\]|\(.*?\)|.\?", "", INTRODUCED).split("|")
-_GREETING_WORDS = [f"{g} " for g in regex.sub(r"\[.*?\]|\(.*?\)|.\?", "", _GREETINGS).split("|")]
+_MET_WORDS, _GREETING_WORDS = INTRODUCED.split("|"), _GREETINGS.split("|")
 _NO_PERSON = regex.compile(r"お?客$|皆$|奥$|神$|何$|者$|人$|生$|屋$|員$")
 _STOP = regex.compile(rf"(?i)(?:{DEEDS}|{BEINGS}|{PLACED}|{NAMED}|{BODIES}|or|but|who|which|because|und|oder|et|ou|y|o|и|или)")
 _WORDS = regex.compile(rf"{_ANY}")
@@ -460,7 +462,7 @@ def _names(text: str) -> Iterator[Span]:
         if "," in text[start : m.end()]:
             found.setdefault((start, m.end()), set()).update({"title"} if titled else ())
     low = text.lower()
-    for pattern, cue, there in ((_TITLED, "title", True), (_MET, None, any(w in low for w in _MET_WORDS) or any(w[:-1] in text for w in _GREETING_WORDS)), (_SIGNED, "greeted", "\n" in text)):
+    for pattern, cue, there in ((_TITLED, "title", True), (_MET, None, any(w in low for w in _MET_WORDS) or any(w in text for w in _GREETING_WORDS)), (_SIGNED, "greeted", "\n" in text)):
         for m in pattern.finditer(text) if there else ():
             start, titled = _trimmed(text, m.start("name"), m.end("name"), cue == "title")
             if m[0][:2].lower() in ("m.", "m ") and not _is_french(text, m.start(), m.end()):

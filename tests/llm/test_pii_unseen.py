@@ -151,3 +151,8 @@ def test_long_lists_and_words_have_no_limit():
     names = [f"Ann{chr(97 + i % 26)} Lee{'x' * (50 * (i == 3))}{chr(97 + i // 26)}" for i in range(200)]
     text = "Present: " + ", ".join(names) + "."
     assert [text[s.start : s.end] for s in find_spans(text)] == names
+
+
+@pytest.mark.parametrize("text, name", [("Уважаемая Анна Петрова, ждём вас.", "Анна Петрова"), ("Моё имя Олег Ким, здравствуйте.", "Олег Ким"), ("Chère Marie Dubois, merci.", "Marie Dubois"), ("Liebe Anna Vogel, bis bald.", "Anna Vogel"), ("Estimada Lucía Vega: gracias.", "Lucía Vega")])
+def test_greetings_of_either_gender(text, name):
+    assert [text[s.start : s.end] for s in find_spans(text)] == [name]
