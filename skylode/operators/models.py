@@ -57,12 +57,18 @@ def mahalanobis(vectors: DataFrame, column: str, reference: DataFrame, shrink: f
     n, mean, cov = moments(reference, column)
     shrink = ledoit_wolf(reference, column, n, mean, cov) if shrink is None else shrink
     target = np.eye(len(mean)) * np.trace(cov) / len(mean)
-    root = np.linalg.cholesky(np.linalg.inv((1 - shrink) * cov + shrink * target)).T
-    rows = [F.array(*map(F.lit, map(float, r))) for r in root]
-    centred = F.zip_with(F.col(column).cast("array<double>"), F.array(*map(F.lit, map(float, mean))), lambda a, b: a - b)
-    out = vectors.withColumn("_c", centred)
-    parts = F.array(*[F.aggregate(F.zip_with("_c", r, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) for r in rows])
-    return out.withColumn("_p", parts).withColumn("distance", F.sqrt(F.aggregate("_p", F.lit(0.0), lambda a, x: a + x * x))).drop("_c", "_p")
+    root = np.linalg.cholesky(np.linalg.inv((1 - shrink) * cov + shrink * target))
+
+    # Mean and root travel with the function, not in the plan: d × d numbers, whatever the number of vectors.
+    @F.pandas_udf("double")
+    def distance(v: pd.Series) -> pd.Series:
+        out = np.full(len(v), np.nan)
+        if len(known := np.flatnonzero(v.notna())):
+            out[known] = np.linalg.norm((np.stack(v.to_numpy()[known]) - mean) @ root, axis=1)
+        return pd.Series(out)
+
+    column_ = F.col(column).cast("array<double>")
+    return vectors.withColumn("distance", F.when(column_.isNotNull(), distance(column_)))
 
 
 def ridge(rows: DataFrame, features: str, label: str, penalty: float) -> LinearRegression:
