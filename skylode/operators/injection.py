@@ -76,3 +76,14 @@ def split_at_blocks(patches: DataFrame, block: int) -> DataFrame:
     hi = F.least(F.col("c0") + width, (F.col("_b") + 1) * block)
     piece = F.transform("patch", lambda r: F.slice(r, (lo - F.col("c0") + 1).cast("int"), (hi - lo).cast("int")))
     return cut.select(*[c for c in patches.columns if c not in ("c0", "patch")], piece.alias("patch"), lo.alias("c0"))
+
+
+def outcomes(injections: DataFrame, decided: DataFrame, width: int) -> DataFrame:
+    """injections with `detected` and `listed`: whether a cluster, and one of the short list, of the search with that
+    injection covers the centre of the signal. decided: variant (the injection_id), as the search of variants gives it."""
+    centre = F.col("c0") + F.get_json_object("site_meta", "$.centre").cast("double")
+    seen = decided.select(F.col("variant").alias("injection_id"), "cadence", "f_start_first", "f_start_last", "in_short_list")
+    met = injections.withColumn("_at", centre).join(seen, ["injection_id", "cadence"], "left")
+    over = F.coalesce((F.col("f_start_first") <= F.col("_at")) & (F.col("_at") < F.col("f_start_last") + width), F.lit(False))
+    keys = [c for c in injections.columns if c not in ("site", "site_meta")]
+    return met.groupBy(*keys).agg(F.bool_or(over).alias("detected"), F.bool_or(over & F.coalesce("in_short_list", F.lit(False))).alias("listed"))
