@@ -71,8 +71,9 @@ def mahalanobis(vectors: DataFrame, column: str, reference: DataFrame, shrink: f
 
 
 def ridge(rows: DataFrame, features: str, label: str, penalty: float) -> LinearRegression:
-    """Ridge regression by normal equations."""
-    fit = rows.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"))
+    """Ridge regression by normal equations; rows without a vector or label don't count."""
+    known = rows.where(F.col(features).isNotNull() & F.col(label).isNotNull())
+    fit = known.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"))
     return LinearRegression(solver="normal", regParam=penalty, elasticNetParam=0.0).fit(fit)
 
 

@@ -93,3 +93,13 @@ def test_folds_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame(rows, "id long, v array<double>, y int")
     a, b = (models.cross_validated_auc(df.repartition(n), "v", "y", folds=3, key="id") for n in (1, 5))
     assert a == pytest.approx(b, abs=1e-6) and a > 0.9
+
+
+def test_ridge_passes_over_rows_without_numbers(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 2))
+    rows = [(v.tolist(), float(v @ [2.0, -1.0] + 3)) for v in x]
+    schema = "x array<double>, y double"
+    plain = models.ridge(spark.createDataFrame(rows, schema), "x", "y", 0.1)
+    gaps = models.ridge(spark.createDataFrame([*rows, (None, 1.0), ([9.0, 9.0], None)], schema), "x", "y", 0.1)
+    assert np.allclose(plain.coefficients, gaps.coefficients) and plain.intercept == pytest.approx(gaps.intercept)
